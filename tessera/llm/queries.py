@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, mixing, secrets, simhash, urlfilter
 from tessera.llm.common import table
 
 
@@ -17,8 +18,61 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, P.PATTERN), ranks))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan_corpus(table(spark, sf_dir, "documents")))
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, RULES))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op5_mixing": op5_mixing,
+    "op7_secrets": op7_secrets,
+    "op9_urls": op9_urls,
+    "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_mixing": r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+w as (select *, [3, 1, 2][(row_number() over (order by source is null, source) - 1) % 3 + 1] as w from s),
+l as (select *, (cast(1.5 as double) * cast(sum(source_size) over () as double)
+        - cast(2 as double) * cast(coalesce(sum(source_size) over (r rows between unbounded preceding and 1 preceding), 0) as double))
+        / cast(sum(w) over () - coalesce(sum(w) over (r rows between unbounded preceding and 1 preceding), 0) as double) as level
+      from w window r as (order by cast(source_size as double) / w, source is null, source)),
+f as (select first(level order by cast(source_size as double) / w, source is null, source) filter (level * w <= cast(2 as double) * source_size) as final from l),
+t as (select source, source_size, least(coalesce(final * w, cast(2 as double) * source_size), cast(2 as double) * source_size) as target from l, f),
+j as (select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate
+      from d join t on d.source is not distinct from t.source)
+select doc_id, cast(size as bigint) as size, source_size, target,
+  cast((floor(rate) + case when cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || 'mix-1'), 1, 13)) as bigint) / cast(4503599627370496 as double)
+    < rate - floor(rate) then 1 else 0 end) * size as bigint) as taken
+from j
+""",
+    "op9_urls": r"""
+with p as (select page_id,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+r(rule_host, rule_path, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m as (select distinct p.host, p.path, rule_host || rule_path as rule, v from p, r
+      where (p.host = rule_host or ends_with(p.host, '.' || rule_host)) and starts_with(p.path, rule_path)),
+b as (select * from m qualify row_number() over (partition by host, path order by length(rule) desc, rule) = 1)
+select page_id, p.host, p.path, b.rule, coalesce(b.v, 'allow') as verdict from p left join b on p.host = b.host and p.path = b.path
+""",
+}
