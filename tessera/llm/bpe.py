@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
 import uuid
 from collections import Counter
 from functools import lru_cache
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, materialize
 
-TWO_SPACES = re.compile(r"\s\s|\0")
 BUCKETS = 16384
 NONE = 2147483647
 #: Stands before a word that no merge changes any more; below the characters of ids.
@@ -116,12 +114,17 @@ def encode_words(words: DataFrame, ranks_path: str, word_col: str = "word") -> D
     return words.withColumn("ids", fold_merges(F.col(word_col), ranks_path))
 
 
-def units(text: str, find) -> list[str]:
-    """Parts of a text that the pattern splits as it splits the text: spaces and line ends between other characters
-    always start a match of their own, so a text without two white spaces in a row is cut there."""
-    if TWO_SPACES.search(text):
-        return find(text)
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+def units(text: str) -> list[str] | None:
+    """Parts that the pattern splits as it splits the text, or None if there is white space other than single spaces and
+    line ends between words.  A space or line end between two other characters always starts a match of its own.  The
+    first part stands as it is; the others have a line end or, left out, a space before them."""
+    if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        return None
+    return text.replace("\n", " \n").split(" ")
+
+
+def unit_text(unit: str) -> str:
+    return unit if unit[:1] == "\n" else " " + unit
 
 
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -143,13 +146,16 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
     """Distinct matches of the pattern with their counts; summed before the shuffle, so that no word is hot."""
 
     def count(cols):
-        find, seen = _pattern(pattern).findall, Counter()
+        find, seen, out = _pattern(pattern).findall, Counter(), Counter()
         for text in cols[text_col]:
-            seen.update(units(text, find))
-        out: dict[str, int] = {}
+            if parts := units(text or ""):
+                out.update(find(parts[0]))
+                seen.update(parts[1:])
+            elif text:
+                out.update(find(text))
         for unit, n in seen.items():
-            for w in find(unit):
-                out[w] = out.get(w, 0) + n
+            for w in find(unit_text(unit)):
+                out[w] += n
         return {"word": list(out), "n": list(out.values())}
 
     return arrow_map(docs.select(text_col), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -175,43 +181,86 @@ def _pattern(p: str):
     return regex.compile(p)
 
 
-#: Of words outside the dictionary each Python worker remembers so many; then it starts anew.
-REMEMBERED = 500_000
-_memory: dict[str, dict[str, bytes]] = {}
+#: Each Python worker remembers the ids of so many parts of texts; then it starts anew.
+REMEMBERED = 600_000
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_dictionary: int = 200_000) -> DataFrame:
-    """``(id_col, ids array<int>)`` for each row: every match of ``pattern`` is encoded by itself, without special tokens.
+class Encoder(dict):
+    """Ids, as bytes of little-endian 32-bit integers, of parts of texts; what it hasn't seen, it makes."""
+
+    def __init__(self, pattern: str, words: dict[str, bytes], ranks: dict[bytes, int]):
+        self.find, self.words, self.ranks = _pattern(pattern).findall, words, ranks
+
+    def pieces(self, text: str) -> bytes:
+        words, ranks = self.words, self.ranks
+        return b"".join(words[w] if w in words else np.array(merge_bytes(w.encode(), ranks), "<i4").tobytes() for w in self.find(text))
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        x = self[unit] = self.pieces(unit_text(unit))
+        return x
+
+    def encode(self, text: str | None) -> np.ndarray:
+        parts = units(text or "")
+        if parts is None:
+            return np.frombuffer(self.pieces(text or ""), "<i4")
+        return np.frombuffer(self.pieces(parts[0]) + b"".join(map(self.__getitem__, parts[1:])), "<i4")
+
+
+class Decoder:
+    """Bytes and decimal names of ids, by look-up in flat tables."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.size = np.array([len(p) for p in pieces] or [0], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(pieces) or b"\0", np.uint8)
+        width = len(str(len(pieces))) + 1
+        self.names = np.frombuffer(b"".join(f"{i},".encode().ljust(width, b"\0") for i in range(max(1, len(pieces)))), np.uint8).reshape(-1, width)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        at = np.repeat(self.start[ids] - (np.cumsum(size) - size), size)
+        return self.flat[at + np.arange(len(at))].tobytes()
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        named = self.names[ids].reshape(-1)
+        return named[named != 0].tobytes()[:-1]
+
+
+def coder(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, max_dictionary: int):
+    """A function for tasks that gives the worker's :class:`Encoder` and :class:`Decoder`.
 
     The driver holds the ranks and the dictionary of frequent words; both are bounded by the vocabulary and by
     ``max_dictionary``, whatever the size of the corpus."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    frequent = encode_words(frequent_words(docs, pattern, max_dictionary, "__text"), ranks_path).toArrow()
+    sc = docs.sparkSession.sparkContext
+    frequent = encode_words(frequent_words(docs, pattern, max_dictionary, text_col), ranks_path).toArrow()
     known = dict(zip(frequent["word"].to_pylist(), [np.array(x, "<i4").tobytes() for x in frequent["ids"].to_pylist()], strict=True))
-    shared, ranks = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(load_ranks(ranks_path))
+    shared = sc.broadcast((known, load_ranks(ranks_path), pieces_of(ranks_path)))
     key = uuid.uuid4().hex
 
-    def run(cols):
-        find, words, r = _pattern(pattern).findall, shared.value, ranks.value
-        if key not in _memory:
-            _memory.clear()
-            _memory[key] = {}
-        memory = _memory[key]
+    def get() -> tuple[Encoder, Decoder]:
+        if key not in _made:
+            _made.clear()
+            known, ranks, pieces = shared.value
+            _made[key] = Encoder(pattern, known, ranks), Decoder(pieces)
+        return _made[key]
+
+    return get
 
-        def ids_of(unit: str) -> bytes:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            x = memory[unit] = b"".join(words[w] if w in words else np.array(merge_bytes(w.encode(), r), "<i4").tobytes() for w in find(unit))
-            return x
 
-        out = []
-        for text in cols["__text"]:
-            got = [memory[u] if u in memory else ids_of(u) for u in units(text, find)]
-            out.append(np.frombuffer(b"".join(got), "<i4"))
-        return {id_col: cols["__id"], "ids": out}
+_made: dict[str, tuple[Encoder, Decoder]] = {}
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_dictionary: int = 200_000) -> DataFrame:
+    """``(id_col, ids array<int>)`` for each row: every match of ``pattern`` is encoded by itself, without special tokens."""
+    get = coder(docs, ranks_path, pattern, text_col, max_dictionary)
+
+    def run(cols):
+        encoder, _ = get()
+        return {id_col: cols[id_col], "ids": [encoder.encode(t) for t in cols[text_col]]}
 
-    return arrow_map(docs, run, f"`{id_col}` {dict(docs.dtypes)['__id']}, ids array<int>")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids array<int>")
 
 
 def pieces_of(ranks_path: str) -> list[bytes]:
@@ -228,22 +277,25 @@ def decode(coded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFra
     shared = coded.sparkSession.sparkContext.broadcast(pieces_of(ranks_path))
 
     def run(cols):
-        piece = shared.value.__getitem__
-        return {id_col: cols[id_col], "ids": cols["ids"], "decoded": [b"".join(map(piece, x.tolist())) for x in cols["ids"]]}
+        decoder = Decoder(shared.value)
+        return {id_col: cols[id_col], "ids": cols["ids"], "decoded": [decoder.decode(x) for x in cols["ids"]]}
 
     return arrow_map(coded.select(id_col, "ids"), run, f"`{id_col}` {dict(coded.dtypes)[id_col]}, ids array<int>, decoded binary")
 
 
-def digest(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and digests of ids and bytes."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_dictionary: int = 200_000) -> DataFrame:
+    """``(id_col, n_tokens, ids_sha256, decoded_sha256)``: each text encoded and its ids decoded in one pass, which spares
+    sending the ids between processes."""
+    get = coder(docs, ranks_path, pattern, text_col, max_dictionary)
 
     def run(cols):
-        ids = cols["ids"]
+        encoder, decoder = get()
+        ids = [encoder.encode(t) for t in cols[text_col]]
         return {
             id_col: cols[id_col],
             "n_tokens": [len(x) for x in ids],
-            "ids_sha256": [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids],
-            "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in cols["decoded"]],
+            "ids_sha256": [hashlib.sha256(decoder.decimal(x)).hexdigest() for x in ids],
+            "decoded_sha256": [hashlib.sha256(decoder.decode(x)).hexdigest() for x in ids],
         }
 
-    return arrow_map(decoded, run, f"`{id_col}` {dict(decoded.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

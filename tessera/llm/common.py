@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a Python worker handles at a time.
+ROWS = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,7 +29,7 @@ def ascii_lower(c: Column) -> Column:
 def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Applies ``fn`` (columns as Python lists in, columns out; lists of numbers as NumPy arrays) to each Arrow batch.
 
-    Spark bounds its batches in rows and bytes."""
+    Spark bounds its batches in bytes; they are cut again to ``ROWS`` rows, which bounds what a worker holds as objects."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -38,8 +42,9 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
         return col.to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                b = whole.slice(k, ROWS)
                 cols = fn({n: read(b.column(i)) for i, n in enumerate(b.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
 

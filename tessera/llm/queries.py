@@ -14,8 +14,7 @@ from tessera.llm.common import table
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    ranks = P.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, P.PATTERN), ranks))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
