@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, secrets, simhash, urlfilter
-from tessera.llm.common import table
+from tessera.llm import bpe, langid, mixing, ogg, quality, secrets, simhash, urlfilter, wavelet, wrapper
+from tessera.llm.common import shared_dir, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 
 
+def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    path = shared_dir(spark)
+    wavelet.write_shards(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), 2, path)
+    return wavelet.documents(wavelet.read_shards(spark, path))
+
+
+def op3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.features(ogg.store(table(spark, sf_dir, "documents")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    judged = quality.judge(docs, rules, keep=["doc_id"])
+    return judged.select("doc_id", *[F.col(f"__{k}").alias(k) for k in quality.BASE], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
@@ -40,8 +68,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_wavelet": op2_wavelet,
+    "op3_wrappers": op3_wrappers,
+    "op4_ogg": op4_ogg,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_secrets": op7_secrets,
+    "op8_langid": op8_langid,
     "op9_urls": op9_urls,
     "op10_simhash": op10_simhash,
 }
