@@ -193,3 +193,13 @@ def winsorize(c: Column | str, *keys: str, lo: float = 0.01, hi: float = 0.99) -
     """Values beyond the interpolated quantiles of their cross-section become those quantiles."""
     q = F.percentile(col(c), F.array(F.lit(lo), F.lit(hi))).over(Window.partitionBy(*keys))
     return F.when(col(c).isNotNull(), F.least(F.greatest(col(c), q[0]), q[1]))
+
+
+# aggregates
+
+
+def correlation(a: Column | str, b: Column | str, eps: float = 1e-12) -> Column:
+    """Pearson correlation over rows that have both; null without variance."""
+    x, y = F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b))
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx > eps) & (sy > eps), F.covar_pop(x, y) / (sx * sy))

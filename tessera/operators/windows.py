@@ -21,7 +21,7 @@ def factor_scores(bars: DataFrame) -> DataFrame:
     """Six scores for every day: signal, trend, govern, liquidity, volatility, momentum reversal."""
     chg = F.col("change_pct")
     mom = F.avg(chg).over(frame(20))
-    vol = F.sqrt(F.greatest(F.avg(chg * chg).over(frame(20)) - mom * mom, F.lit(0.0)))
+    vol = F.when(mom.isNotNull(), F.sqrt(F.greatest(F.avg(chg * chg).over(frame(20)) - mom * mom, F.lit(0.0))))
     sma20, sma60 = F.avg("close").over(frame(20)), F.avg("close").over(frame(60))
     x = bars.withColumns({"mom20": mom, "vol20": vol, "sma20": sma20, "sma60": sma60})
     c = F.col("close")

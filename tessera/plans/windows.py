@@ -22,7 +22,7 @@ def sql_frame(n: int, end: int = 0) -> str:
     "symbol date:d mom20:6 vol20:4 f_signal:6 f_trend f_govern:6 f_liquidity:6 f_vol:4 f_mom_rev:6",
     "bars",
     f"""x as (select *, avg(change_pct) {sql_frame(20)} as mom20, avg(change_pct * change_pct) {sql_frame(20)} as sq, avg(close) {sql_frame(20)} as sma20, avg(close) {sql_frame(60)} as sma60 from bars),
-y as (select *, sqrt(greatest(sq - mom20 * mom20, 0)) as vol20, cast(close > sma20 as int) + cast(sma20 > sma60 as int) as up, cast(close < sma20 as int) + cast(sma20 < sma60 as int) as dn from x)""",
+y as (select *, case when mom20 is not null then sqrt(greatest(sq - mom20 * mom20, 0)) end as vol20, cast(close > sma20 as int) + cast(sma20 > sma60 as int) as up, cast(close < sma20 as int) + cast(sma20 < sma60 as int) as dn from x)""",
     """select symbol, date, mom20, vol20, (up - dn) * turnover as f_signal, case when up = 2 then 1.0e0 when dn = 2 then -1.0e0 else 0.0e0 end as f_trend,
     case when change_pct is not null then least(greatest(1 - abs(change_pct) / 10, -1), 1) end as f_govern, turnover as f_liquidity,
     case when coalesce(vol20, 0) = 0 then 0 else 1 - least(1, vol20 / 5) end as f_vol, -mom20 / 5 as f_mom_rev from y""",
