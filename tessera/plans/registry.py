@@ -35,7 +35,7 @@ def query(name: str, out: str, needs: str = "", ctes: str = "", sql: str | None
         QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir), out)
         if sql is not None:
             with_ = ",\n".join(x for x in [*(PARTS[n] for n in needs.split()), ctes.strip().rstrip(",")] if x)
-            cols = ", ".join(c if not n else f"cast(cast({c} as date) as varchar) as {c}" if n == "d" else f"round({c}, {n}) + 0.0e0 as {c}" for c, _, n in (x.partition(":") for x in out.split()))
+            cols = ", ".join(f'"{c}"' if not n else f"cast(cast({c} as date) as varchar) as {c}" if n == "d" else f"round({c}, {n}) + 0.0e0 as {c}" for c, _, n in (x.partition(":") for x in out.split()))
             SQL[name] = (f"with {with_}\n" if with_ else "") + f"select {cols} from (\n{sql.strip()}\n)"
         return fn
 
