@@ -26,6 +26,8 @@ from tessera.llm.urlfilter import host_of, path_of
 BUCKETS = 1 << 15
 #: A text's evidence counts as that of so many independent trigrams at most, as neighbouring ones are not independent.
 EVIDENCE = 60
+#: The sample is counted in so many parts.
+SAMPLE_PARTS = 4
 #: Pages that the prior of the level above counts as.
 KAPPA = 20.0
 _TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -48,7 +50,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             out[lang] = out.get(lang, 0) + np.bincount(trigrams(text or ""), minlength=BUCKETS)
         return {"lang": list(out), "counts": [x.astype(np.int64) for x in out.values()]}
 
-    # a row for each language and part of the sample
+    # a row for each language and batch of the sample, whatever the number of partitions of the documents
+    rows = rows.repartition(SAMPLE_PARTS)
     total: dict[str, np.ndarray] = {}
     for r in arrow_map(rows, count, "lang string, counts array<long>").toArrow().to_pylist():
         total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["counts"])

@@ -14,9 +14,13 @@ come first; an empty table gives no shards; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,8 @@ MAGIC = b"TSWM0001"
 BLOCK = 512
 #: Ids in a shard; a document that is longer has a shard of its own.
 SHARD = 1 << 20
-REMEMBERED = 500_000
+#: Each Python worker remembers the ids of so many words; then it starts anew.
+REMEMBERED = 1_200_000
 
 
 class WaveletMatrix:
@@ -144,36 +149,61 @@ class WaveletMatrix:
         return out.astype(np.uint32)
 
 
+#: Where one of these stands, lower case may change what composes.
+UNEVEN = re.compile("[\u0130\u03a3\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]")
+
+
+#: Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
+
+
 class Tokenizer(dict):
     """Ids (as bytes, 32-bit little-endian) of words between white space; words not yet seen are encoded together.
 
-    White space only parts words for this kind of tokenizer; a text with the string of an added token goes through whole."""
+    White space only parts words for this kind of tokenizer, it drops case, and it parts full stops and commas from the
+    letters before them; a text with the string of an added token goes through whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        spec = json.loads(open(path, encoding="utf-8").read())
-        self.special = [x["content"] for x in spec.get("added_tokens", ())]
-
-    def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
-
-    def learn(self, texts: list[str]) -> None:
-        new = list({w for t in texts for w in t.split() if w not in self})
+        with open(path, encoding="utf-8") as f:
+            self.special = [x["content"] for x in json.load(f).get("added_tokens", ())]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        words = [[] if i in whole else (t.lower() if t.isascii() or not UNEVEN.search(t) else t).split() for i, t in enumerate(texts)]
+        self.learn(set(chain.from_iterable(words)))
+        return [np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4") if i in whole else np.frombuffer(b"".join(map(self.__getitem__, w)), "<u4") for i, w in enumerate(words)]
+
+    def learn(self, words: set[str]) -> None:
+        new = words - self.keys()
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = list({w for t in texts for w in t.split()})
-        for i in range(0, len(new), 20_000):
-            words = new[i : i + 20_000]
-            found = self.library.encode(" ".join(words), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-            ids, at = np.array(found.ids, "<u4"), np.array([a for a, _ in found.offsets], np.int64)
-            ends = np.searchsorted(at, starts)
-            for k, w in enumerate(words):
-                self[w] = ids[ends[k] : ends[k + 1]].tobytes()
+            new = words
+        ends: dict[str, tuple[str, str]] = {}
+        for w in new:
+            if w[-1] in ".,":
+                base = w.rstrip(".,")
+                if base and base[-1].isalpha():
+                    ends[w] = base, w[len(base) :]
+        parts = []
+        for p in {*(new - ends.keys()), *chain.from_iterable(ends.values())} - self.keys():
+            # letters alone, in lower case and composed, are one word to the model: no need to normalise and split
+            if p.isalpha() and p == p.lower() and (p.isascii() or unicodedata.is_normalized("NFC", p)):
+                self[p] = array("I", [t.id for t in self.library.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+            else:
+                parts.append(p)
+        for i in range(0, len(parts), 20_000):
+            some = parts[i : i + 20_000]
+            found = self.library.encode(" ".join(some), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(p) + 1 for p in some)])
+            raw, at = np.array(found.ids, "<u4").tobytes(), np.array([a for a, _ in found.offsets], np.int64)
+            cut = (4 * np.searchsorted(at, starts)).tolist()
+            self.update(zip(some, [raw[a:b] for a, b in pairwise(cut)], strict=True))
+        self.update((w, self[a] + self[b]) for w, (a, b) in ends.items())
 
 
 _made: dict[str, Tokenizer] = {}
@@ -208,9 +238,8 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                tok.learn([t for t in texts if not any(s in t for s in tok.special)])
-                for i, t in zip(b.column(0).to_pylist(), texts, strict=True):
-                    ids = np.concatenate([tok.encode(t), end])
+                for i, ids in zip(b.column(0).to_pylist(), tok.encode(texts), strict=True):
+                    ids = np.concatenate([ids, end])
                     if held and total + len(ids) > shard:
                         yield flush()
                     names.append(i)
