@@ -42,7 +42,7 @@ def query(name: str, out: str, needs: str = "", ctes: str = "", sql: str | None
     return add
 
 
-for _name in ("windows", "evaluation", "relational", "portfolio", "statistics", "quality", "streams", "research"):
+for _name in ("windows", "evaluation", "relational", "portfolio", "statistics", "quality", "streams", "research", "archive"):
     try:
         importlib.import_module(f"tessera.plans.{_name}")
     except ModuleNotFoundError as e:
