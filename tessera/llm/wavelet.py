@@ -20,10 +20,10 @@ import unicodedata
 import uuid
 import zlib
 from array import array
-from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,21 +51,24 @@ class WaveletMatrix:
         planes, zeros, ranks = [], [], []
         for level in range(width - 1, -1, -1):
             ones = (seq >> level & 1).astype(bool)
-            planes.append(np.packbits(ones, bitorder="little"))
-            ranks.append(cls._ranks(ones))
+            plane = np.packbits(ones, bitorder="little")
+            planes.append(plane)
+            ranks.append(cls._ranks(plane))
+            zeros.append(len(ones) - int(ranks[-1][-1]))
             seq = np.concatenate([seq[~ones], seq[ones]])
-            zeros.append(int(len(ones) - ones.sum()))
         return cls(len(ids), width, planes, zeros, ranks)
 
     @staticmethod
-    def _ranks(ones: np.ndarray) -> np.ndarray:
-        """Ones before each block."""
-        sums = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK), dtype=np.uint32) if len(ones) else np.zeros(0, np.uint32)
-        return np.concatenate([[0], np.cumsum(sums)]).astype(np.uint32)
+    def _ranks(plane: np.ndarray) -> np.ndarray:
+        """Ones before each block, and all of them."""
+        n = BLOCK // 8
+        whole = np.zeros(-(-len(plane) // n) * n, np.uint8)
+        whole[: len(plane)] = plane
+        return np.concatenate([[0], np.cumsum(np.bitwise_count(whole.view(np.uint64)).reshape(-1, n // 8).sum(axis=1, dtype=np.uint32))]).astype(np.uint32)
 
     def to_bytes(self) -> bytes:
         body = b"".join(r.tobytes() + p.tobytes() for r, p in zip(self.ranks, self.planes, strict=True))
-        return MAGIC + struct.pack("<QI", self.size, self.width) + struct.pack(f"<{self.width}Q", *self.zeros) + zlib.compress(body, 1)
+        return MAGIC + struct.pack("<QI", self.size, self.width) + struct.pack(f"<{self.width}Q", *self.zeros) + zstandard.ZstdCompressor(level=1).compress(body)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> WaveletMatrix:
@@ -73,7 +76,7 @@ class WaveletMatrix:
             raise ValueError("not a wavelet matrix")
         size, width = struct.unpack_from("<QI", raw, 8)
         zeros = list(struct.unpack_from(f"<{width}Q", raw, 20))
-        body = zlib.decompress(raw[20 + 8 * width :])
+        body = zstandard.ZstdDecompressor().decompress(raw[20 + 8 * width :])
         n_ranks, n_bytes, at = -(-size // BLOCK) + 1, -(-size // 8), 0
         planes, ranks = [], []
         for _ in range(width):
@@ -153,57 +156,52 @@ class WaveletMatrix:
 UNEVEN = re.compile("[\u0130\u03a3\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]")
 
 
+#: Marks that part from the letters before them; not the apostrophe, which begins endings.
+MARKS = ".,;:!?*$%&#|<>()[]\"/+=-"
 #: Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
 
 
 class Tokenizer(dict):
-    """Ids (as bytes, 32-bit little-endian) of words between white space; words not yet seen are encoded together.
+    """Ids (as bytes, 32-bit little-endian) of words between white space; a word is encoded when it is first seen.
 
-    White space only parts words for this kind of tokenizer, it drops case, and it parts full stops and commas from the
-    letters before them; a text with the string of an added token goes through whole."""
+    White space only parts words for this kind of tokenizer, it drops case, and it parts marks from the letters before
+    them; a text with the string of an added token goes through whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
+        self.tokenize = self.library.model.tokenize
         with open(path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f).get("added_tokens", ())]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        words = [[] if i in whole else (t.lower() if t.isascii() or not UNEVEN.search(t) else t).split() for i, t in enumerate(texts)]
-        self.learn(set(chain.from_iterable(words)))
-        return [np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4") if i in whole else np.frombuffer(b"".join(map(self.__getitem__, w)), "<u4") for i, w in enumerate(words)]
-
-    def learn(self, words: set[str]) -> None:
-        new = words - self.keys()
-        if len(self) + len(new) > REMEMBERED:
+    def encode(self, text: str) -> np.ndarray:
+        if any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        if len(self) > REMEMBERED:
             self.clear()
-            new = words
-        ends: dict[str, tuple[str, str]] = {}
-        for w in new:
-            if w[-1] in ".,":
-                base = w.rstrip(".,")
-                if base and base[-1].isalpha():
-                    ends[w] = base, w[len(base) :]
-        parts = []
-        for p in {*(new - ends.keys()), *chain.from_iterable(ends.values())} - self.keys():
+        words = (text.lower() if text.isascii() or not UNEVEN.search(text) else text).split()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+
+    def __missing__(self, w: str) -> bytes:
+        if w.isalpha():
             # letters alone, in lower case and composed, are one word to the model: no need to normalise and split
-            if p.isalpha() and p == p.lower() and (p.isascii() or unicodedata.is_normalized("NFC", p)):
-                self[p] = array("I", [t.id for t in self.library.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+            if w.isascii() and w.islower():
+                ids = [t.id for t in self.tokenize(w)]
+            elif w == w.lower() and unicodedata.is_normalized("NFC", w):
+                ids = [t.id for t in self.tokenize(w.encode().decode("latin-1").translate(BYTE_CHARS))]
             else:
-                parts.append(p)
-        for i in range(0, len(parts), 20_000):
-            some = parts[i : i + 20_000]
-            found = self.library.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(p) + 1 for p in some)])
-            raw, at = np.array(found.ids, "<u4").tobytes(), np.array([a for a, _ in found.offsets], np.int64)
-            cut = (4 * np.searchsorted(at, starts)).tolist()
-            self.update(zip(some, [raw[a:b] for a, b in pairwise(cut)], strict=True))
-        self.update((w, self[a] + self[b]) for w, (a, b) in ends.items())
+                ids = self.library.encode(w, add_special_tokens=False).ids
+        else:
+            base = w.rstrip(MARKS)
+            if base and len(base) < len(w) and base.isalpha():
+                x = self[w] = self[base] + self[w[len(base) :]]
+                return x
+            ids = self.library.encode(w, add_special_tokens=False).ids
+        x = self[w] = array("I", ids).tobytes()
+        return x
 
 
 _made: dict[str, Tokenizer] = {}
@@ -238,8 +236,8 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                for i, ids in zip(b.column(0).to_pylist(), tok.encode(texts), strict=True):
-                    ids = np.concatenate([ids, end])
+                for i, text in zip(b.column(0).to_pylist(), texts, strict=True):
+                    ids = np.concatenate([tok.encode(text), end])
                     if held and total + len(ids) > shard:
                         yield flush()
                     names.append(i)
