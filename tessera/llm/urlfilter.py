@@ -61,4 +61,5 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     best = found.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("order"), "rule", "rule_verdict")).alias("best"))
     # read again, so that the join deals both sides out by itself and Spark can split a hot URL
     best = materialize(best.select("host", "path", "best.rule", "best.rule_verdict"))
-    return pages.join(best, ["host", "path"], "left").select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+    # matched URLs grow with the pages: they are never broadcast
+    return pages.join(best.hint("merge"), ["host", "path"], "left").select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))

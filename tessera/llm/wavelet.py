@@ -175,7 +175,9 @@ class Tokenizer(dict):
         self.library = Library.from_file(path)
         self.tokenize = self.library.model.tokenize
         with open(path, encoding="utf-8") as f:
-            self.special = [x["content"] for x in json.load(f).get("added_tokens", ())]
+            added = [x["content"] for x in json.load(f).get("added_tokens", ())]
+        # Python also parts words at these controls, which aren't white space to the library
+        self.special = [*added, *"\x1c\x1d\x1e\x1f"]
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):

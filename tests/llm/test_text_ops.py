@@ -78,6 +78,16 @@ def test_wavelet_matrix_operations():
             w.select(299, len(ids))
 
 
+def test_words_are_encoded_as_in_their_text():
+    tok = wavelet.Tokenizer(P.path("word_bpe_49k.json"))
+    odd = [
+        "ΣΑΣ. Σ, J̌ a, İx don't. DON'T, it's.,a ,. .a é. É, 1,000. 3.14, x_. <|endoftext|> a", "Don't.", "'s.,", "áb.", "ÀÉ.,!", "，中文。,", "ab.cd,ef.", "a--b", "x'll.", "The%%% is***", "a\u0301B.", "ﬁne", "\x1f a\x1cb",
+        *[t or "" for t in ODD],
+    ]
+    for t in odd:
+        assert tok.encode(t).tolist() == tok.library.encode(t, add_special_tokens=False).ids
+
+
 def test_wavelet_shards(spark, sf_dir, tmp_path):
     from tokenizers import Tokenizer
 
