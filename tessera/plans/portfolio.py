@@ -66,9 +66,9 @@ def portfolio(spark, d):
     return B.portfolio_returns(top_weights(spark, d), W.forward_returns(b, (1,)).select("date", "symbol", F.col("fwd_1").alias("ret")))
 
 
-@query("b37_portfolio_returns", "date:d gross:8 turnover:8 cost:9 net:8 equity:4", "bars", PORT, "select * from port")
+@query("b37_portfolio_returns", "date:d gross:8 turnover:8 cost:9 net:8 log_equity:7", "bars", PORT, "select *, ln(equity) as log_equity from port")
 def _(spark, d):
-    return portfolio(spark, d)
+    return portfolio(spark, d).withColumn("log_equity", F.log("equity"))
 
 
 @query("b38_turnover_definitions", "date:d name_turnover:8 weight_turnover:8 status", "bars",
@@ -166,13 +166,13 @@ def _(spark, d):
     return B.trade_metrics(P.fills(spark, d).select("symbol", ((F.col("tax") - 0.04) * F.col("qty")).alias("pnl")), "symbol")
 
 
-@query("b34_relative_report", "date:d portfolio:6 benchmark:6 excess:6", "bars", PORT + ", bm as (select date, avg(fwd_1) as b from fwd group by date), r as (select p.date, exp(sum(ln(1 + net)) over (order by p.date rows unbounded preceding)) - 1 as portfolio, exp(sum(ln(1 + coalesce(b, 0))) over (order by p.date rows unbounded preceding)) - 1 as benchmark from port p join bm on bm.date = p.date)",
-    "select *, (1 + portfolio) / (1 + benchmark) - 1 as excess from r")
+@query("b34_relative_report", "date:d log_portfolio:7 log_benchmark:7 excess:6", "bars", PORT + ", bm as (select date, avg(fwd_1) as b from fwd group by date), r as (select p.date, exp(sum(ln(1 + net)) over (order by p.date rows unbounded preceding)) - 1 as portfolio, exp(sum(ln(1 + coalesce(b, 0))) over (order by p.date rows unbounded preceding)) - 1 as benchmark from port p join bm on bm.date = p.date)",
+    "select date, ln(1 + portfolio) as log_portfolio, ln(1 + benchmark) as log_benchmark, (1 + portfolio) / (1 + benchmark) - 1 as excess from r")
 def _(spark, d):
     b = W.forward_returns(P.bars(spark, d), (1,)).groupBy("date").agg(F.avg("fwd_1").alias("b"))
     w = W.Window.orderBy("date").rowsBetween(W.Window.unboundedPreceding, 0)  # a row for each day
     x = portfolio(spark, d).join(b, "date").select("date", (F.exp(F.sum(F.log(1 + F.col("net"))).over(w)) - 1).alias("portfolio"), (F.exp(F.sum(F.log(1 + F.coalesce("b", F.lit(0.0)))).over(w)) - 1).alias("benchmark"))
-    return x.withColumn("excess", (1 + F.col("portfolio")) / (1 + F.col("benchmark")) - 1)
+    return x.withColumns({"excess": (1 + F.col("portfolio")) / (1 + F.col("benchmark")) - 1, "log_portfolio": F.log(1 + F.col("portfolio")), "log_benchmark": F.log(1 + F.col("benchmark"))})
 
 
 @query("b35_exposure_audit", "days avg_names:6 max_weight:8 avg_turnover:8", "bars", PORT, "select (select count(*) from port) as days, (select count(*) from wt) / (select count(distinct date) from wt)::double as avg_names, (select max(weight) from wt) as max_weight, (select avg(turnover) from port) as avg_turnover")
@@ -272,11 +272,11 @@ def _(spark, d):
     return x.groupBy("segment").agg(F.count(F.lit(1)).alias("names"), F.avg("r").alias("basket"))
 
 
-@query("b99_cost_rules", "rule total:6", "bars", PORT + ", r(rule, bps) as (values ('old', 10.0e0), ('new', 3.0e0)), x as (select rule, exp(sum(ln(1 + gross - turnover * bps / 1e4))) - 1 as total from pf cross join r group by rule)", "select * from x")
+@query("b99_cost_rules", "rule log_total:7", "bars", PORT + ", r(rule, bps) as (values ('old', 10.0e0), ('new', 3.0e0)), x as (select rule, sum(ln(1 + gross - turnover * bps / 1e4)) as log_total from pf cross join r group by rule)", "select * from x")
 def _(spark, d):
     rules = spark.createDataFrame([("old", 10.0), ("new", 3.0)], "rule string, bps double")
     x = portfolio(spark, d).crossJoin(F.broadcast(rules))
-    return x.groupBy("rule").agg((F.exp(F.sum(F.log(1 + F.col("gross") - F.col("turnover") * F.col("bps") / 1e4))) - 1).alias("total"))
+    return x.groupBy("rule").agg(F.sum(F.log(1 + F.col("gross") - F.col("turnover") * F.col("bps") / 1e4)).alias("log_total"))
 
 
 @query("b100_history_universe", "symbol rows", "bars", "", "select symbol, count(*) as rows from bars where date <= date '2000-06-30' group by symbol having count(*) >= 60")

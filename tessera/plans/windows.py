@@ -67,13 +67,13 @@ def _(spark, d):
 
 @query(
     "w10_adjusted_close",
-    "symbol date:d close:3 adj_close:4",
+    "symbol date:d log_adj:6",
     "bars",
     f"""x as (select *, product(greatest(1 + coalesce(change_pct, 0) / 100, 1e-12)) {O} rows unbounded preceding) as p from bars)""",
-    "select symbol, date, close, last(close) over w * p / last(p) over w as adj_close from x window w as (partition by symbol order by date rows between unbounded preceding and unbounded following)",
+    "select symbol, date, ln(last(close) over w * p / last(p) over w) as log_adj from x window w as (partition by symbol order by date rows between unbounded preceding and unbounded following)",
 )
 def _(spark, d):
-    return W.adjusted_close(P.bars(spark, d))
+    return W.adjusted_close(P.bars(spark, d)).withColumn("log_adj", F.log("adj_close"))
 
 
 @query("w12_technical_ewm", "symbol date:d rsi:6 dif:6 dea:6 macd:6 atr:6")
