@@ -16,17 +16,23 @@ def neutralize(df: DataFrame, factors: list[str], size: str = "ln_size", industr
     Days with fewer than ``least`` complete values, or without variance, give null."""
     ind = F.coalesce(F.col(industry).cast("string"), F.lit("?"))
     df = df.withColumn("__ind", ind)
-    for f in factors:
-        ok = F.col(f).isNotNull() & F.col(size).isNotNull()
-        df = df.withColumn("__y", winsorize(F.when(ok, F.col(f)), day)).withColumn("__x", F.when(ok, F.col(size)))
-        group, whole = Window.partitionBy(day, "__ind"), Window.partitionBy(day)
-        df = df.withColumns({"__yd": F.col("__y") - F.avg("__y").over(group), "__xd": F.col("__x") - F.avg("__x").over(group)})
-        sxx = F.sum(F.col("__xd") * F.col("__xd")).over(whole)
-        beta = F.when(sxx > 1e-12, F.sum(F.col("__xd") * F.col("__yd")).over(whole) / sxx).otherwise(0.0)
-        df = df.withColumn("__beta", beta).withColumn("__r", F.col("__yd") - F.col("__beta") * F.col("__xd"))
-        std, n = F.stddev_pop("__r").over(whole), F.count("__r").over(whole)
-        df = df.withColumn(f"z_{f}", F.when((n >= least) & (std > 1e-12), (F.col("__r") - F.avg("__r").over(whole)) / std))
-    return df.drop("__ind", "__y", "__x", "__yd", "__xd", "__beta", "__r")
+    group, whole = Window.partitionBy(day, "__ind"), Window.partitionBy(day)
+    # all factors take each step together, so the steps cost one sort each, not one for each factor
+    ok = {f: F.col(f).isNotNull() & F.col(size).isNotNull() for f in factors}
+    df = df.withColumns({f"__y_{f}": F.when(ok[f], F.col(f)) for f in factors} | {f"__x_{f}": F.when(ok[f], F.col(size)) for f in factors})
+    df = df.withColumns({f"__y_{f}": winsorize(f"__y_{f}", day) for f in factors})
+    df = df.withColumns({f"__{v}_{f}": F.col(f"__{v}_{f}") - F.avg(f"__{v}_{f}").over(group) for f in factors for v in "xy"})
+    sums = {f"__xx_{f}": F.sum(F.col(f"__x_{f}") * F.col(f"__x_{f}")).over(whole) for f in factors} | {f"__xy_{f}": F.sum(F.col(f"__x_{f}") * F.col(f"__y_{f}")).over(whole) for f in factors}
+    df = df.withColumns(sums)
+    beta = {f: F.when(F.col(f"__xx_{f}") > 1e-12, F.col(f"__xy_{f}") / F.col(f"__xx_{f}")).otherwise(0.0) for f in factors}
+    df = df.withColumns({f"__r_{f}": F.col(f"__y_{f}") - beta[f] * F.col(f"__x_{f}") for f in factors})
+
+    def scaled(r: str) -> Column:
+        std = F.stddev_pop(r).over(whole)
+        return F.when((F.count(r).over(whole) >= least) & (std > 1e-12), (F.col(r) - F.avg(r).over(whole)) / std)
+
+    df = df.withColumns({f"z_{f}": scaled(f"__r_{f}") for f in factors})
+    return df.drop("__ind", *[f"__{v}_{f}" for f in factors for v in ("x", "y", "r", "xx", "xy")])
 
 
 def composite(df: DataFrame, weights: dict[str, float], directions: dict[str, int], day: str = "date", least: int = 30) -> DataFrame:
