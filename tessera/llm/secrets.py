@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Method: candidates are found by pattern in each text, hashed, and the hashes are aggregated over the corpus by distinct
-repositories and owners.  A value that several owners have is an example that people copy; one that a single owner has
-looks live.  Base kinds are always reported; what looks live is added under the kind ``live``, be it the value of a base
+repositories and owners.  A value that several owners have, or that stands in many repositories of whatever owners, is an
+example that people copy; any other looks live.  Base kinds are always reported; what looks live is added under the kind ``live``, be it the value of a base
 match or a further candidate: a run of letters and digits of 20 or more with both, and of high entropy.
 
 The owner of a document is its source and its repository the source together with its text's hash, so exact copies
@@ -33,6 +33,8 @@ KINDS = ("assign", "access", "hex", "live")
 LEAST_ENTROPY = 3.5
 #: Owners from which a value counts as copied.
 COPIED = 3
+#: Repositories (different texts of a source) from which a value counts as copied even by fewer owners.
+COPIED_REPOS = 10
 
 
 def entropy(s: str) -> float:
@@ -91,7 +93,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def live_spans(found: DataFrame) -> DataFrame:
     """``(row, added)``: the spans of each document's values that look live; only documents with values take part."""
-    live = materialize(ownership(found).where(F.col("owners") < COPIED).select("hash"))
+    live = materialize(ownership(found).where((F.col("owners") < COPIED) & (F.col("repos") < COPIED_REPOS)).select("hash"))
     hit = found.select("row", F.explode("values").alias("v")).select("row", "v.hash", "v.start", "v.end").join(live, "hash")
     return hit.groupBy("row").agg(F.collect_set(F.struct(F.lit("live").alias("kind"), "start", "end")).alias("added"))
 
