@@ -129,10 +129,10 @@ def hysteresis(raws: DataFrame, enter: int = 3, leave: int = 3) -> DataFrame:
 
 
 def gate_replay(returns: DataFrame, raws: DataFrame, grid: DataFrame, lag: int = 1, cost_bps: float = 10.0) -> DataFrame:
-    """Net value of each configuration (enter, leave, risk and caution exposure) of the gate, with costs of shifts.
+    """Net value of each strategy under each configuration (enter, leave, risk and caution exposure) of the gate, with costs of shifts.
 
-    ``grid`` is a row for each configuration; each goes to one call with the market's daily rows."""
-    days = returns.join(raws.select("date", "raw"), "date").select("date", "ret", "raw")
+    ``grid`` is a row for each configuration; each strategy and configuration go to one call with the market's daily rows."""
+    days = returns.join(raws.select("strategy_id", "date", "raw"), "date").select("strategy_id", "date", "ret", "raw")
     x = days.crossJoin(F.broadcast(grid))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,9 +143,9 @@ def gate_replay(returns: DataFrame, raws: DataFrame, grid: DataFrame, lag: int =
         held = want.shift(lag).fillna(1.0)
         net = held.to_numpy() * pdf["ret"].fillna(0.0).to_numpy() - held.diff().abs().fillna(0.0).to_numpy() * cost_bps / 1e4
         eq = (1 + pd.Series(net)).cumprod()
-        return pd.DataFrame({"config_id": [c["config_id"]], "days": [len(pdf)], "total": [eq.iloc[-1] - 1], "max_drawdown": [float((1 - eq / eq.cummax()).max())], "mean_exposure": [held.mean()], "shifts": [int((held.diff().abs() > 0).sum())]})
+        return pd.DataFrame({"strategy_id": [c["strategy_id"]], "config_id": [c["config_id"]], "days": [len(pdf)], "total": [eq.iloc[-1] - 1], "max_drawdown": [float((1 - eq / eq.cummax()).max())], "mean_exposure": [held.mean()], "shifts": [int((held.diff().abs() > 0).sum())]})
 
-    return x.groupBy("config_id").applyInPandas(run, f"config_id {dict(grid.dtypes)['config_id']}, days long, total double, max_drawdown double, mean_exposure double, shifts long")
+    return x.groupBy("strategy_id", "config_id").applyInPandas(run, f"strategy_id {dict(raws.dtypes)['strategy_id']}, config_id {dict(grid.dtypes)['config_id']}, days long, total double, max_drawdown double, mean_exposure double, shifts long")
 
 
 def normal_cdf(c: Column) -> Column:

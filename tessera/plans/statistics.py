@@ -115,11 +115,10 @@ def _(spark, d):
     return T.hysteresis(T.raw_regime(strategy_ics(spark, d)), 2, 3)
 
 
-@query("b43_gate_replay", "config_id days total:6 max_drawdown:6 mean_exposure:6 shifts")
+@query("b43_gate_replay", "strategy_id config_id days total:6 max_drawdown:6 mean_exposure:6 shifts")
 def _(spark, d):
     grid = spark.createDataFrame([(i, e, x, r, c) for i, (e, x, r, c) in enumerate([(1, 1, 0.0, 0.5), (2, 3, 0.2, 0.7), (3, 3, 0.3, 0.8), (3, 5, 0.0, 1.0)])], "config_id int, enter int, leave int, risk_exposure double, caution_exposure double")
-    raws = T.raw_regime(strategy_ics(spark, d)).where("strategy_id = 0")
-    return T.gate_replay(market(spark, d), raws, grid)
+    return T.gate_replay(market(spark, d), T.raw_regime(strategy_ics(spark, d)), grid)
 
 
 @query("b44_degradation", "strategy_id consistency:6 activity:6 skew:6 decline:6 index:4 level")
