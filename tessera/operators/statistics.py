@@ -208,18 +208,43 @@ def purged_folds(intervals: DataFrame, k: int = 5, embargo: float = 0.01) -> Dat
     return y.select("fold", "i", F.when(test, F.lit("test")).when(overlap, F.lit("purged")).when(emb, F.lit("embargo")).otherwise(F.lit("train")).alias("role"))
 
 
-def sign_flip(groups: DataFrame, most: int = 16, draws: int = 2000, seed: int = 42) -> DataFrame:
+def sign_flips(values, most: int = 16, draws: int = 200_000, seed: int = 42) -> tuple[int, float | None, float | None, float | None]:
+    """Patterns, mean, one-sided and two-sided share of one group's values; draws are counted with the observed pattern added."""
+    import numpy as np
+
+    x = np.asarray(values, float)
+    n = len(x)
+    if not n:
+        return 0, None, None, None
+    observed, exact = float(x.mean()), n <= most
+    total = 1 << n if exact else draws
+    rng, greater, beyond = np.random.RandomState(seed), 0, 0
+    step = max(1, 1_000_000 // n)  # blocks of rows go on with one stream of draws
+    for k in range(0, total, step):
+        m = min(step, total - k)
+        if exact:
+            signs = ((np.arange(k, k + m)[:, None] >> np.arange(n)) & 1) * 2.0 - 1.0
+        else:
+            signs = rng.choice(np.array([-1.0, 1.0]), size=(m, n))
+        s = signs @ x / n
+        greater += int((s >= observed - 1e-12).sum())
+        beyond += int((np.abs(s) >= abs(observed) - 1e-12).sum())
+    one = 0 if exact else 1
+    return total, observed, (greater + one) / (total + one), (beyond + one) / (total + one)
+
+
+def sign_flip(groups: DataFrame, most: int = 16, draws: int = 200_000, seed: int = 42) -> DataFrame:
     """Share of sign patterns whose mean is at least the observed one: all 2^n patterns up to ``most`` values, else seeded draws.
 
-    Patterns are rows joined to the values of their group, so sums are plain aggregates."""
-    w = Window.partitionBy("group").orderBy("k")
-    x = groups.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("group")))
-    sizes = x.groupBy("group").agg(F.count(F.lit(1)).alias("__n"), F.avg("x").alias("observed"))
-    exact = F.col("__n") <= most
-    pats = sizes.select("group", "observed", F.col("__n").alias("__m"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(exact, F.pow(F.lit(2.0), F.col("__n")).cast("long")).otherwise(F.lit(draws).cast("long")) - 1)).alias("p"))
-    bit = F.when(F.col("__m") <= most, F.floor(F.col("p") / F.pow(F.lit(2.0), F.col("__i"))) % 2).otherwise(F.pmod(F.xxhash64("p", "__i", F.lit(seed)), F.lit(2)))
-    sums = x.join(pats, "group").groupBy("group", "p").agg(F.avg(F.col("x") * (1 - 2 * bit)).alias("s"), F.first("observed").alias("observed"))
-    return sums.groupBy("group").agg(F.count(F.lit(1)).alias("patterns"), F.first("observed").alias("mean"), F.avg((F.col("s") >= F.col("observed") - 1e-12).cast("double")).alias("p_greater"), F.avg((F.abs("s") >= F.abs("observed") - 1e-12).cast("double")).alias("p_two_sided"))
+    Each group's values, in order of ``k``, become one row; its patterns are made and counted in blocks."""
+    rows = groups.where("x is not null").groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("x"))
+
+    def run(batches):
+        for pdf in batches:
+            out = [(g, *sign_flips(x, most, draws, seed)) for g, x in zip(pdf["group"], pdf["x"], strict=True)]
+            yield pd.DataFrame(out, columns=["group", "patterns", "mean", "p_greater", "p_two_sided"])
+
+    return rows.mapInPandas(run, f"group {dict(groups.dtypes)['group']}, patterns long, mean double, p_greater double, p_two_sided double")
 
 
 def robust_max_z(groups: DataFrame) -> DataFrame:

@@ -185,6 +185,12 @@ def _(spark, d):
     return T.sign_flip(x.select(F.col("curve_id").alias("group"), "k", F.col("ret").alias("x")))
 
 
+@query("b51_sign_flip_whole", "group n patterns mean:7 p_greater:8 p_two_sided:8")
+def _(spark, d):
+    x = curve(spark, d).select(F.col("curve_id").alias("group"), F.col("date").alias("k"), F.col("ret").alias("x"))
+    return T.sign_flip(x).join(x.groupBy("group").agg(F.count("x").alias("n")), "group")
+
+
 @query("b52_robust_max_z", "group median:7 mad:7 max_z:5", "bars", CURVE + ", md as (select curve_id, ret as x, median(ret) over (partition by curve_id) as m from cr), g as (select curve_id, any_value(m) as median, median(abs(x - m)) as mad, max(x) as top, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as iqr from md group by 1)",
     'select curve_id as "group", median, mad, (top - median) / case when mad > 1e-12 then mad * 1.4826e0 when iqr > 1e-12 then iqr / 1.349e0 end as max_z from g')
 def _(spark, d):
