@@ -39,8 +39,8 @@ def test_extraction():
     }
     for body, want in bodies.items():
         page = PAGE % body
-        assert wrapper.extract(page, wrapper.content_paths(wrapper.expression(page))) == want
-    assert wrapper.extract("", wrapper.content_paths([])) == ""
+        assert wrapper.page_text(page, wrapper.expression(page)) == want
+    assert wrapper.page_text("", []) == ""
 
 
 def test_alignment_makes_optional_and_repeated_groups():
