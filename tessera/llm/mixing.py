@@ -6,7 +6,8 @@ times, plus one copy if the hash of its id under a seed falls below the fraction
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; a source without words has
 target 0 and rate 0; rows that repeat an id share their hash, so they are taken alike, and reruns agree; an empty table
-gives an empty table.  The table of sources is sorted in one task: it has a row for each source, whatever the number of
+gives an empty table; a text is counted whole, whatever its length; other columns are passed on, by ``mixture`` whatever
+their names and types.  The table of sources is sorted in one task: it has a row for each source, whatever the number of
 documents, and a hot source is summed where its rows are read.
 """
 
@@ -15,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD
+from tessera.llm.common import WORD, materialize, pack, unpack
 
 SEED = "mix-1"
+#: The table of sources is broadcast up to so many rows, so that no text is shuffled; beyond, Spark chooses the join.
+BROADCAST_ROWS = 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -54,8 +57,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """All rows with ``size``, ``source_size``, ``target`` and ``copies``, the number of times the mix takes them."""
     own = docs.select("*", size_of(F.col(text_col)).alias("__size"))
     sums = own.groupBy(F.col(source_col).alias("source")).agg(F.sum("__size").alias("source_size"))
-    # a row for each source: Spark broadcasts it when it is small by its own measure
-    rates = targets(sums, weights, share, cap).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    rates = materialize(targets(sums, weights, share, cap).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
+    if rates.count() <= BROADCAST_ROWS:
+        rates = F.broadcast(rates)
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     own = own.join(rates, F.col(source_col).eqNullSafe(F.col("__source")), "left")
     copies = F.floor(rate) + (draw(F.col(id_col), seed) < rate - F.floor(rate)).cast("long")
@@ -65,3 +69,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixed.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents that the mix takes, each as often as it does, with their columns as they are."""
+    used = [id_col, text_col, source_col]
+    packed = pack(docs, used)
+    return unpack(emit(mix(packed, id_col=id_col, text_col=text_col, source_col=source_col, **options), packed.columns), docs.columns, used)

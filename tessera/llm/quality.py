@@ -5,12 +5,13 @@ Method: statistics of labelled texts are covered one rule after another.  A rule
 pruning part; it is held if it is precise enough there.  The rules leave as ordered Spark conditional expressions; what no
 rule covers is kept.
 
-The learner sees at most ``max_rows`` labelled rows, those with the least hash of their id; statistics and verdicts cover
+The learner sees at most ``max_rows`` labelled ids, those with the least hash, with a row each; statistics and verdicts cover
 all documents.
 
 Defined results: a null text has no words; ids with two labels are left out of learning; without labels, or with labels of
-one class, there are no rules and only the base rules reject; rows that repeat an id are judged each for itself; columns
-beside the id and text are passed by.
+one class, there are no rules and only the base rules reject; rows that repeat an id are judged each for itself; a text is
+read whole, whatever its length; an empty table gives an empty table; columns beside the id and text are passed by, by
+``kept`` whatever their names and types.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map
+from tessera.llm.common import arrow_map, pack, quoted, unpack
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\r\x0b\x0c"
@@ -96,11 +97,11 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | N
     keep = docs.columns if keep is None else keep
 
     def run(cols):
-        stats = [statistics(t) for t in cols[text_col]]
-        return {c: cols[c] for c in keep} | {f"__{k}": [s[k] for s in stats] for k in (*BASE, *FEATURES)}
+        stats = [statistics(t) for t in cols["__text"]]
+        return {f"__{k}": [s[k] for s in stats] for k in (*BASE, *FEATURES)}
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes if n in keep), *(f"__{k} long" for k in BASE), *(f"__{k} double" for k in FEATURES)])
-    return arrow_map(docs.select(*dict.fromkeys([*keep, text_col])), run, schema)
+    schema = ", ".join([*(f"__{k} long" for k in BASE), *(f"__{k} double" for k in FEATURES)])
+    return arrow_map(docs.select(*map(quoted, keep), F.col(quoted(text_col)).alias("__text")), run, schema, tuple(keep))
 
 
 @dataclass(frozen=True)
@@ -179,11 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from at most ``max_rows`` labelled documents."""
     one = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("quality"), F.max(label_col).alias("__most")).where("quality = __most")
     chosen = one.select(F.col(id_col).alias("__id"), "quality").orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    # bounded by max_rows
-    labelled = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
-    found = with_statistics(labelled, text_col, [id_col, "quality"]).toArrow().to_pylist()
-    # rows that repeat an id could exceed the bound; the order makes reruns agree
-    found = sorted(found, key=lambda r: (r[id_col], *(r[f"__{f}"] for f in FEATURES)))[: 2 * max_rows]
+    # bounded by max_rows, as is what the driver fetches: of rows that repeat an id the one of the least statistics
+    labelled = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    stats = with_statistics(labelled, "__text", ["__id", "quality"])
+    found = stats.groupBy("__id", "quality").agg(F.min(F.struct(*[f"__{f}" for f in FEATURES])).alias("x")).select("__id", "quality", "x.*").toArrow().to_pylist()
+    found.sort(key=lambda r: r["__id"])
     mixed = np.random.default_rng(11).permutation(len(found))
     return learn([found[i] for i in mixed])
 
@@ -206,3 +207,8 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text", keep: list
     """``keep`` (all columns by default) with the statistics, ``__base_failed`` and ``__kept``."""
     out = with_statistics(docs, text_col, keep).withColumn("__base_failed", base_failed())
     return out.withColumn("__kept", ~F.col("__base_failed") & verdict(rules))
+
+
+def kept(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows that neither the base rules nor the learned ones reject, with their columns as they are."""
+    return unpack(judge(pack(docs, [text_col]), rules, text_col).where("__kept"), docs.columns, [text_col])

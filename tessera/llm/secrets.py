@@ -9,7 +9,9 @@ The owner of a document is its source and its repository the source together wit
 inside a source are one repository.
 
 Defined results: a null or empty text has no spans; ties are ordered by kind; rows that repeat an id are scanned each for
-itself and counted once in the corpus if their texts agree; columns beside the id, text and source are ignored.
+itself and counted once in the corpus if their texts agree; null and empty texts and ids stay apart; a text is scanned
+whole, whatever its length; an empty table gives an empty table; columns beside the id, text and source are ignored, or
+passed on as they are by ``redact``, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, materialize
+from tessera.llm.common import arrow_map, materialize, pack, quoted, unpack
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -60,27 +62,36 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     return base, values
 
 
-def with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A key that rows share only if their ids and texts agree."""
-    return docs.withColumn("__row", F.md5(F.concat_ws("\n", F.col(id_col).cast("string"), F.col(text_col)).cast("binary")))
+def row_key(id_: Column, text: Column) -> Column:
+    """A key that rows share only if their ids and texts agree; null stays apart from any value."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    return F.md5(F.concat(part(F.md5(text.cast("binary"))), part(id_.cast("string"))).cast("binary"))
+
+
+SPANS = "array<struct<kind:string,start:int,end:int>>"
+VALUES = "array<struct<hash:long,start:int,end:int>>"
+
+
+def found_in(text: str | None) -> tuple[list[dict], list[dict], str | None]:
+    """Base spans, values with their hashes, and the repository's part that is the text's."""
+    base, values = scan(text or "")
+    return (
+        [{"kind": k, "start": i, "end": j} for k, i, j in base],
+        [{"hash": int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little", signed=True), "start": i, "end": j} for v, i, j in dict.fromkeys(values)],
+        hashlib.md5((text or "").encode()).hexdigest() if values else None,
+    )
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row for each document: its key, its base spans, its values with their hashes, its owner and its repository."""
+    """A row for each document: its id and key, its base spans, its values with their hashes, its owner and its repository."""
 
     def run(cols):
-        out = {k: [] for k in ("base", "values", "repo")}
-        for text in cols[text_col]:
-            base, values = scan(text or "")
-            out["base"].append([{"kind": k, "start": i, "end": j} for k, i, j in base])
-            out["values"].append([{"hash": int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little", signed=True), "start": i, "end": j} for v, i, j in dict.fromkeys(values)])
-            out["repo"].append(hashlib.md5((text or "").encode()).hexdigest() if values else None)
-        return {id_col: cols[id_col], "row": cols["__row"], "owner": cols[source_col], **out}
+        base, values, repo = zip(*map(found_in, cols["text"])) if cols["text"] else ((), (), ())
+        return {"base": base, "values": values, "repo": repo}
 
-    kind = dict(docs.dtypes)[id_col]
-    spans = "array<struct<kind:string,start:int,end:int>>"
-    rows = with_row(docs.select(id_col, text_col, source_col), id_col, text_col)
-    return arrow_map(rows, run, f"`{id_col}` {kind}, row string, owner string, base {spans}, values array<struct<hash:long,start:int,end:int>>, repo string")
+    id_, text = F.col(id_col), F.col(text_col)
+    rows = docs.select(id_.alias("id"), row_key(id_, text).alias("row"), F.col(source_col).alias("owner"), text.alias("text"))
+    return arrow_map(rows, run, f"base {SPANS}, values {VALUES}, repo string", ("id", "row", "owner")).withColumnRenamed("id", id_col)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -127,21 +138,33 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mask: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns with each value that looks live replaced by a mask; copied examples stay as they are."""
-    found = materialize(candidates(docs, id_col, text_col, source_col).where("size(values) > 0"))
-    added = materialize(live_spans(found))
-    rows = with_row(docs, id_col, text_col).withColumnRenamed("__row", "row").join(added.withColumnRenamed("added", "__added"), "row", "left")
+    """The same rows and columns with each value that looks live replaced by a mask; copied examples stay as they are.
 
-    def run(cols):
+    The documents are written once with what was found in them, so that only those with values are shuffled to the
+    corpus's verdicts; all others are passed on from where they lie."""
+    used = [id_col, text_col, source_col]
+
+    def note(cols):
+        _, values, repo = zip(*map(found_in, cols[text_col])) if cols[text_col] else ((), (), ())
+        return {"__values": values, "__repo": repo}
+
+    rows = pack(docs, used)
+    noted = materialize(arrow_map(rows, note, f"__values {VALUES}, __repo string", tuple(rows.columns)))
+    with_values = noted.where(F.col("__repo").isNotNull()).withColumn("__row", row_key(F.col(id_col), F.col(text_col)))
+    found = with_values.select(F.col("__row").alias("row"), F.col(source_col).alias("owner"), F.col("__values").alias("values"), F.col("__repo").alias("repo"))
+    added = live_spans(found).select(F.col("row").alias("__row"), "added")
+
+    def masked(cols):
         out = []
-        for text, spans in zip(cols[text_col], cols["__added"], strict=True):
+        for text, spans in zip(cols[text_col], cols["added"], strict=True):
             parts, at = [], 0
             for i, j in sorted((x["start"], x["end"]) for x in spans or ()):
                 if i >= at:
                     parts += [text[at:i], mask]
                 at = max(at, j)
             out.append("".join([*parts, text[at:]]) if parts else text)
-        return cols | {text_col: out}
+        return {text_col: out}
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return arrow_map(rows.select(*docs.columns, "__added"), run, schema)
+    hit = with_values.join(added, "__row", "left").select(*rows.columns, "added")
+    hit = arrow_map(hit, masked, f"{quoted(text_col)} string", tuple(c for c in rows.columns if c != text_col))
+    return unpack(noted.where(F.col("__repo").isNull()).select(*rows.columns).unionByName(hit), docs.columns, used)

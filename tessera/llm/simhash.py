@@ -12,7 +12,8 @@ spread over these meetings, with the labels' own labels followed each round.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; a text of fewer words than a shingle is
 one shingle; equal fingerprints are one class however many rows have them; rows that repeat an id repeat its result; a
-null id counts as no id in the minimum and its row gets its class's component; an empty table gives an empty table.
+null id counts as no id in the minimum and its row gets its class's component; a text is read whole, whatever its length;
+columns beside the id and text are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, materialize
+from tessera.llm.common import arrow_map, last_folder, mark, materialize, sweep
 
 SEED = 42
 BITS = 64
@@ -90,14 +91,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among the neighbours and then the label of that label; rows are summed before each
     shuffle and each round ends in a table in the shared folder."""
+    spark = edges.sparkSession
     both = materialize(edges.select("fp", "to").union(edges.select("to", "fp")).distinct())
+    start = mark()
     labels = materialize(both.groupBy("fp").agg(F.min("to").alias("m")).select("fp", F.least("fp", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("fp").alias("to"), "label"), "to").groupBy("fp").agg(F.min("label").alias("m"))
         step = materialize(labels.join(near, "fp").select("fp", F.least("label", "m").alias("label"), F.col("label").alias("old")))
         jump = step.select(F.col("fp").alias("label"), F.col("label").alias("next"))
         new = materialize(step.join(jump, "label").select("fp", F.col("next").alias("label"), "old"))
-        if not new.where("label <> old").limit(1).count():
+        changed = new.where("label <> old").limit(1).count()
+        sweep(spark, start, but=(last_folder(),))  # the tables of the rounds before aren't read any more
+        if not changed:
             return new.select("fp", "label")
         labels = new.select("fp", "label")
 
