@@ -165,21 +165,57 @@ def adaptive_weights(ics: DataFrame, base: DataFrame, short: int = 20, long: int
 GATES = {"ic": 0.02, "icir": 0.3, "t": 2.0, "win": 0.55, "spread": 0.0, "turnover": 0.8}
 
 
-def factor_report(long: DataFrame, least: int = 30, group: int = 50) -> DataFrame:
-    """One row for each factor: IC, long-short, quintile monotony and turnover, seven gates and a verdict."""
+def ranked(long: DataFrame, share: float = 0.2, tie: str = "symbol") -> DataFrame:
+    """Each value's places in its (date, factor) cross-section, by one shuffle: average ranks of value and label, whether it is
+    in the top or bottom share and its quintile among rows that have both, and whether it is in the top share of all values."""
     keys = ["date", "factor"]
-    ic = ic_summary(rank_ic(long, keys, least=least), ["factor"])
-    ls = spread_summary(long_short(long, keys, least=group), ["factor"]).select("factor", "spread_mean", "annual")
-    x = long.where("value is not null and label is not null")
-    cuts = F.percentile("value", F.array(*[F.lit(i / 5) for i in range(1, 5)])).over(Window.partitionBy(*keys))
-    x = x.withColumn("q", F.size(F.filter(cuts, lambda c: c < F.col("value"))) + 1).groupBy(*keys, "q").agg(F.avg("label").alias("m"))
-    x = x.withColumn("filled", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("filled = 5")
-    q = x.groupBy("factor").agg(*[F.avg(F.when(F.col("q") == k, F.col("m"))).alias(f"q{k}") for k in range(1, 6)])
+    own = Window.partitionBy(*keys)
+    x = long.where("value is not null").select(*keys, tie, "value", "label", F.col("label").isNotNull().alias("paired"), F.count(F.lit(1)).over(own).alias("__all"), F.row_number().over(own.orderBy(F.desc("value"), tie)).alias("__place"))
+    keys = [*keys, "paired"]
+    w = Window.partitionBy(*keys)
+    cuts = F.percentile("value", F.array(*[F.lit(i / 5) for i in range(1, 5)])).over(w)
+    k = F.greatest(F.floor(F.count(F.lit(1)).over(w) * share), F.lit(1))
+    return x.select(
+        "date", "factor", tie, "label", "paired", average_rank("value", *keys).alias("a"), average_rank("label", *keys).alias("b"), (F.row_number().over(w.orderBy(F.desc("value"), tie)) <= k).alias("top"),
+        (F.row_number().over(w.orderBy("value", tie)) <= k).alias("bottom"), (F.size(F.filter(cuts, lambda c: c < F.col("value"))) + 1).alias("q"), (F.col("__place") <= F.greatest(F.floor(F.col("__all") * share), F.lit(1))).alias("member"),
+    )
+
+
+def factor_report(long: DataFrame, least: int = 30, group: int = 50, year: int = 242) -> DataFrame:
+    """One row for each factor: IC, long-short, quintile monotony and turnover, seven gates and a verdict.
+
+    All of it comes from one ranked table, written once: a row for each day and factor sums it up, and the members of the
+    top share are compared with those of the day before by their own last day in it."""
+    from tessera.sources.scratch import written
+
+    x = written(ranked(long))
+    own = lambda c: F.when(F.col("paired"), c)
+    a, b, y = own(F.col("a")), own(F.col("b")), own(F.col("label"))
+    day = x.groupBy("date", "factor").agg(
+        F.count_if("paired").alias("n"), correlation(a, b).alias("ic"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"), F.avg(F.when(F.col("top"), y)).alias("high"), F.avg(F.when(F.col("bottom"), y)).alias("low"),
+        *[F.avg(F.when(F.col("q") == k, y)).alias(f"q{k}") for k in range(1, 6)], F.count_if("member").alias("size"),
+    )
+    settled = (F.col("n") >= least) & (F.col("sa") >= 1e-12) & (F.col("sb") >= 1e-12)
+    filled = F.col("n") > 0
+    for k in range(1, 6):
+        filled = filled & F.col(f"q{k}").isNotNull()
+    by = Window.partitionBy("factor").orderBy("date")  # a row for each day and factor
+    day = day.withColumn("ic", F.when(settled, F.col("ic"))).withColumn("spread", F.when(F.col("n") >= group, F.col("high") - F.col("low")))
+    day = day.withColumns({"k": F.row_number().over(by), "before": F.lag("size").over(by)})
+    # the day's number goes to its members; a member of the day before has the number before
+    held = x.where("member").select("date", "factor", "symbol").join(day.select("date", "factor", "k"), ["date", "factor"])
+    stayed = held.withColumn("__last", F.lag("k").over(Window.partitionBy("factor", "symbol").orderBy("date"))).where(F.col("__last") == F.col("k") - 1)
+    both = F.coalesce("both", F.lit(0))
+    day = day.join(stayed.groupBy("date", "factor").agg(F.count(F.lit(1)).alias("both")), ["date", "factor"], "left").withColumn("turnover", F.when(F.col("before").isNotNull(), 1 - both / (F.col("size") + F.col("before") - both)))
+    out = day.groupBy("factor").agg(
+        F.count("ic").alias("days"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("win_rate"), F.avg("spread").alias("spread_mean"),
+        *[F.avg(F.when(filled, F.col(f"q{k}"))).alias(f"q{k}") for k in range(1, 6)], F.avg("turnover").alias("turnover"),
+    ).where("days > 0")
+    ok = F.col("ic_std") > 1e-12
+    out = out.withColumns({"icir": F.when(ok, F.col("ic_mean") / F.col("ic_std")), "t_value": F.when(ok, F.col("ic_mean") / (F.col("ic_std") / F.sqrt("days"))), "annual": F.col("spread_mean") * year})
     up = (F.col("q1") <= F.col("q2")) & (F.col("q2") <= F.col("q3")) & (F.col("q3") <= F.col("q4")) & (F.col("q4") <= F.col("q5"))
     down = (F.col("q1") >= F.col("q2")) & (F.col("q2") >= F.col("q3")) & (F.col("q3") >= F.col("q4")) & (F.col("q4") >= F.col("q5"))
-    q = q.withColumn("monotone", up | down)
-    turn = group_turnover(long, "value", keys=["factor"]).groupBy("factor").agg(F.avg("turnover").alias("turnover"))
-    out = ic.join(ls, "factor", "left").join(q, "factor", "left").join(turn, "factor", "left")
+    out = out.withColumn("monotone", up | down)
     gates = [F.abs("ic_mean") >= GATES["ic"], F.abs("icir") >= GATES["icir"], F.abs("t_value") >= GATES["t"], F.greatest(F.col("win_rate"), 1 - F.col("win_rate")) >= GATES["win"], F.abs("spread_mean") > GATES["spread"], F.col("monotone"), F.col("turnover") <= GATES["turnover"]]
     passed = F.lit(0)
     for g in gates:

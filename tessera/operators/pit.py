@@ -48,13 +48,14 @@ def checked_left_join(left: DataFrame, right: DataFrame, keys: list[str], fill:
     return out.select(*[F.when(F.coalesce("__ok", F.lit(1)) == 1, F.coalesce(F.col(c), F.col(f"__r_{fill[c]}"))).alias(c) if c in fill else F.col(c) for c in left.columns])
 
 
-def year_ago(fin: DataFrame, value: str, name: str) -> DataFrame:
-    """Difference to the same quarter of the year before, by an equi-join on the quarter's index (gaps stay gaps)."""
+def year_ago(fin: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Differences to the same quarter of the year before (``values`` maps columns to the new names); gaps stay gaps.
+
+    The frame holds just the quarter four back, so all of them cost one shuffle and no join."""
     from tessera.functions.scalar import quarter_index
 
-    x = fin.withColumn("__q", quarter_index("period"))
-    before = x.select("symbol", (F.col("__q") + 4).alias("__q"), F.col(value).alias("__before"))
-    return x.join(before, ["symbol", "__q"], "left").withColumn(name, F.col(value) - F.col("__before")).drop("__q", "__before")
+    w = Window.partitionBy("symbol").orderBy(quarter_index("period")).rangeBetween(-4, -4)
+    return fin.withColumns({name: F.col(c) - F.max(c).over(w) for c, name in values.items()})
 
 
 def quality_gated(snap: DataFrame, ts: str, cap: str, least_rows: int, least_cover: float = 0.8, prefix: str | None = None, key: str = "symbol") -> DataFrame:

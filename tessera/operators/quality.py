@@ -92,28 +92,38 @@ def verify_chain(ledger: DataFrame, head: int | None = None) -> DataFrame:
 
 
 def build_chain(rows: DataFrame) -> DataFrame:
-    """Hashes a ledger (ledger, seq, payload) in order: each row's hash covers the one before, so each ledger goes to one call."""
-    import hashlib
+    """Hashes a ledger (ledger, seq, payload) in order: each row's hash covers the one before.
 
-    import pandas as pd
+    Ledgers are dealt out and sorted by Spark and hashed as they stream by; a task holds one hash, however long a ledger is."""
+    import hashlib
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        prevs, hashes, prev = [], [], ""
-        for payload in pdf["payload"]:
-            prevs.append(prev)
-            prev = hashlib.sha256(f"{prev}|{payload}".encode()).hexdigest()
-            hashes.append(prev)
-        return pdf.assign(prev=prevs, hash=hashes)
+    def run(batches):
+        ledger, prev = object(), ""
+        for pdf in batches:
+            prevs, hashes = [], []
+            for own, payload in zip(pdf["ledger"], pdf["payload"], strict=True):
+                own = None if own != own else own  # null comes as NaN in a column of numbers
+                if own != ledger:
+                    ledger, prev = own, ""
+                prevs.append(prev)
+                prev = hashlib.sha256(f"{prev}|{payload}".encode()).hexdigest()
+                hashes.append(prev)
+            yield pdf.assign(prev=prevs, hash=hashes)
 
     k = dict(rows.dtypes)
-    return rows.select("ledger", "seq", "payload").groupBy("ledger").applyInPandas(run, f"ledger {k['ledger']}, seq {k['seq']}, payload string, prev string, hash string")
+    dealt = rows.select("ledger", "seq", "payload").repartition("ledger").sortWithinPartitions("ledger", "seq")
+    return dealt.mapInPandas(run, f"ledger {k['ledger']}, seq {k['seq']}, payload string, prev string, hash string")
+
+
+def manifest_of(spark, folder: str, name: Column | None = None) -> DataFrame:
+    """(name, sha256) of the files under a folder; ``name`` is made from ``path``, by default its last part."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select((F.element_at(F.split("path", "/"), -1) if name is None else name).alias("name"), F.sha2("content", 256).alias("sha256")).where("name is not null")
 
 
-def verify_manifest(spark, folder: str, manifest: DataFrame) -> DataFrame:
+def verify_manifest(spark, folder: str, manifest: DataFrame, name: Column | None = None) -> DataFrame:
     """(name, status) of files in a folder against a manifest of (name, sha256): ok, changed, missing or extra."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("__have"))
-    x = manifest.join(files, "name", "full_outer")
+    x = manifest.join(manifest_of(spark, folder, name).withColumnRenamed("sha256", "__have"), "name", "full_outer")
     return x.select("name", F.when(F.col("__have").isNull(), F.lit("missing")).when(F.col("sha256").isNull(), F.lit("extra")).when(F.col("sha256") == F.col("__have"), F.lit("ok")).otherwise(F.lit("changed")).alias("status"))
 
 

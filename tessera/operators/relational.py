@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 
 
+def latest(df: DataFrame, c: str):
+    """The largest value of a column, one scalar to the driver; over a file's own column Spark takes it from the footers' pages."""
+    return df.agg(F.max(c)).first()[0]
+
+
 def recent_window(df: DataFrame, days: int, date: str = "date") -> DataFrame:
-    """Rows of the last ``days`` days up to the table's latest date: one scalar, then a filter on the raw column."""
-    top = df.agg(F.max(date).alias("__top"))
-    return df.crossJoin(F.broadcast(top)).where(F.col(date) >= F.date_sub("__top", days)).drop("__top")
+    """Rows of the last ``days`` days up to the table's latest date: a scalar first, then a filter by a literal, which reaches
+    the scan where ``date`` is a column of the file.  An empty table stays empty."""
+    top = latest(df, date)
+    return df.where(F.col(date) >= F.date_sub(F.lit(top), days)) if top is not None else df.where(F.lit(False))
 
 
 def up_to(df: DataFrame, moment, ts: str = "date") -> DataFrame:
@@ -105,6 +111,7 @@ def selection(scores: DataFrame, n: int = 10, weights: dict[str, float] | None =
     x = x.withColumn("score", total)
     if fusion:
         x = x.withColumn("__f", S.rank_percentile(fusion, "date")).withColumn("score", (1 - blend) * F.col("score") + blend * F.col("__f"))
+    x = x.withColumn("score", F.round("score", 9))  # scores that differ by less are ties
     return top_n(x, "score", n, "date").select("date", "symbol", "score", "rank")
 
 

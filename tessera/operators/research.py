@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,3 +127,55 @@ def percent_or_ratio(df: DataFrame, c: str) -> DataFrame:
     """The column as a ratio: percent points are found by the 99.9 % quantile of its absolute values (one row)."""
     big = df.agg((F.percentile(F.abs(c), F.lit(0.999)) > 0.5).alias("__pct"))
     return df.crossJoin(F.broadcast(big)).withColumn(c, F.when(F.coalesce("__pct", F.lit(False)), F.col(c) / 100).otherwise(F.col(c))).drop("__pct")
+
+
+@dataclass(frozen=True)
+class Hypothesis:
+    """A factor that is claimed to predict returns: an SQL expression over the panel's columns, and the sign of its IC."""
+
+    name: str
+    expression: str
+    fields: tuple[str, ...]
+    direction: int = 1
+
+
+def lint(h: Hypothesis, available: set[str], ahead: tuple[str, ...] = ("future_", "fwd_", "label")) -> str:
+    """Why a hypothesis can't be tried, or an empty string: fields that the panel lacks, or that know what comes later."""
+    used = set(h.fields)
+    if missing := sorted(used - available):
+        return "unknown fields: " + ", ".join(missing)
+    if late := sorted(f for f in used if f.startswith(ahead)):
+        return "looks ahead: " + ", ".join(late)
+    return "" if h.direction in (-1, 1) else "direction"
+
+
+def validate_batch(panel: DataFrame, hypotheses: list[Hypothesis], evaluator: Callable[[DataFrame], DataFrame] | None = None, label: str = "label", least_ic: float = 0.01, segments: int = 4, least: int = 30) -> DataFrame:
+    """(factor, stage, status, reasons): hypotheses are linted, then tried on evidence, and only what passes both goes on.
+
+    ``evaluator`` gets the long table (date, symbol, factor, value, label) of the hypotheses that passed, once for all of
+    them, and gives (factor, passed); it isn't called if none passed and never sees a rejected one.  The list is as short as
+    its writer makes it; the panel's rows stay in Spark."""
+    spark = panel.sparkSession
+    problems = {h.name: lint(h, set(panel.columns) - {label}) for h in hypotheses}
+    tried = [h for h in hypotheses if not problems[h.name]]
+    rows = [(h.name, "lint_rejected", "rejected", problems[h.name]) for h in hypotheses if problems[h.name]]
+    schema = "factor string, stage string, status string, reasons string"
+    if not tried:
+        return spark.createDataFrame(rows, schema)
+    values = F.array(*[F.struct(F.lit(h.name).alias("factor"), F.lit(h.direction).alias("direction"), F.expr(h.expression).cast("double").alias("value")) for h in tried])
+    long = panel.select("date", "symbol", F.col(label).alias("label"), F.explode(values).alias("h")).select("date", "symbol", "h.factor", "h.direction", "h.value", "label")
+    signs = spark.createDataFrame([(h.name, h.direction) for h in tried], "factor string, direction int")
+    found = evidence(long, segments, least).join(F.broadcast(signs), "factor")
+    wrong = F.coalesce(F.signum("ic") != F.col("direction"), F.lit(True)) | F.coalesce(F.abs("ic") < least_ic, F.lit(True))
+    found = found.select("factor", F.concat_ws(",", F.nullif("reasons", F.lit("")), F.when(wrong, F.lit("direction"))).alias("reasons")).collect()  # a row for each hypothesis
+    rows += [(r["factor"], "evidence_rejected", "rejected", r["reasons"]) for r in found if r["reasons"]]
+    passed = [r["factor"] for r in found if not r["reasons"]]
+    done = spark.createDataFrame(rows, schema)
+    if not passed:
+        return done
+    if evaluator is None:
+        return done.unionByName(spark.createDataFrame([(f, "evidence_passed", "verified", "") for f in passed], schema))
+    judged = evaluator(long.where(F.col("factor").isin(passed)).drop("direction"))
+    out = spark.createDataFrame([(f,) for f in passed], "factor string").join(judged.select("factor", "passed"), "factor", "left")
+    status = F.when(F.coalesce("passed", F.lit(False)), F.lit("verified")).otherwise(F.lit("falsified"))
+    return done.unionByName(out.select("factor", F.lit("return_evaluated").alias("stage"), status.alias("status"), F.lit("").alias("reasons")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Callable
 from statistics import NormalDist
 
 import pandas as pd
@@ -85,13 +87,22 @@ def sharpe_change(curve: DataFrame, win: int = 20, swing: int = 10, threshold: f
     return out.select("curve_id", "n", "swing", "jump", (F.col("jump") > F.greatest(F.lit(threshold), F.col("mean") + 2 * F.col("std"))).alias("change_point"))
 
 
-def raw_regime(ics: DataFrame, n: int = 20, risk_mean: float = 0.0, risk_neg: float = 0.55, risk_ir: float = 0.0, normal_mean: float = 0.02) -> DataFrame:
-    """normal, caution, risk or unknown from the mean, negative share and ratio of the last n ICs of a strategy."""
+def regime_stats(ics: DataFrame, n: int = 20) -> DataFrame:
+    """Mean, negative share and ratio of the last n ICs of a strategy."""
     w = Window.partitionBy("strategy_id").orderBy("date").rowsBetween(-(n - 1), 0)
     x = ics.select("strategy_id", "date", F.avg("ic").over(w).alias("m"), F.avg((F.col("ic") < 0).cast("double")).over(w).alias("neg"), F.stddev_samp("ic").over(w).alias("s"))
-    ir = S.safe_div(F.col("m"), F.col("s"), eps=1e-12)
-    risk = (F.col("m") < risk_mean) & (F.col("neg") > risk_neg) & F.coalesce(ir < risk_ir, F.lit(True))
-    return x.select("strategy_id", "date", F.when(F.col("m").isNull(), F.lit("unknown")).when(risk, F.lit("risk")).when(F.col("m") >= normal_mean, F.lit("normal")).otherwise(F.lit("caution")).alias("raw"))
+    return x.select("strategy_id", "date", "m", "neg", S.safe_div(F.col("m"), F.col("s"), eps=1e-12).alias("ir"))
+
+
+def regime_of(risk_mean: Column | float = 0.0, risk_neg: Column | float = 0.55, risk_ir: Column | float = 0.0, normal_mean: Column | float = 0.02) -> Column:
+    """normal, caution, risk or unknown by the thresholds, over the columns of ``regime_stats``."""
+    risk = (F.col("m") < risk_mean) & (F.col("neg") > risk_neg) & F.coalesce(F.col("ir") < risk_ir, F.lit(True))
+    return F.when(F.col("m").isNull(), F.lit("unknown")).when(risk, F.lit("risk")).when(F.col("m") >= normal_mean, F.lit("normal")).otherwise(F.lit("caution"))
+
+
+def raw_regime(ics: DataFrame, n: int = 20, risk_mean: float = 0.0, risk_neg: float = 0.55, risk_ir: float = 0.0, normal_mean: float = 0.02) -> DataFrame:
+    """normal, caution, risk or unknown from the mean, negative share and ratio of the last n ICs of a strategy."""
+    return regime_stats(ics, n).select("strategy_id", "date", regime_of(risk_mean, risk_neg, risk_ir, normal_mean).alias("raw"))
 
 
 def latch(raws, state: dict, enter: int, leave: int) -> list[str]:
@@ -117,35 +128,112 @@ def latch(raws, state: dict, enter: int, leave: int) -> list[str]:
     return out
 
 
+def confirmed(raws: DataFrame, keys: list[str], enter: Column | int, leave: Column | int) -> DataFrame:
+    """Adds ``regime``, the states that ``latch`` gives, without a recursion.
+
+    Risk begins where a run of risk days is ``enter`` long and ends where a run of other days is ``leave`` long, so the state
+    is that of the last such day; days of unknown state take no part."""
+    own = Window.partitionBy(*keys).orderBy("date")
+    past, upto = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
+    risk = F.col("__risk")
+    x = raws.withColumn("__risk", F.when(F.col("raw").isin("normal", "caution", "risk"), (F.col("raw") == "risk").cast("int")))
+    x = x.withColumn("__before", F.last("__risk", ignorenulls=True).over(past))
+    x = x.withColumn("__run", F.sum((risk.isNotNull() & ~risk.eqNullSafe(F.col("__before"))).cast("int")).over(upto))
+    x = x.withColumn("__long", F.count("__risk").over(Window.partitionBy(*keys, "__run").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("__event", F.when((risk == 1) & (F.col("__long") >= enter), 1).when((risk == 0) & (F.col("__long") >= leave), 0))
+    x = x.withColumn("__state", F.coalesce(F.last("__event", ignorenulls=True).over(upto), F.lit(0)))
+    regime = F.when(risk.isNull(), F.col("raw")).when(F.col("__state") == 1, F.lit("risk")).when(risk == 1, F.lit("caution")).otherwise(F.col("raw"))
+    return x.withColumn("regime", regime).drop("__risk", "__before", "__run", "__long", "__event", "__state")
+
+
 def hysteresis(raws: DataFrame, enter: int = 3, leave: int = 3) -> DataFrame:
-    """The latch over each strategy's history (a recursion: one call for each strategy)."""
+    """The confirmation of states over each strategy's history."""
+    return confirmed(raws.select("strategy_id", "date", "raw"), ["strategy_id"], enter, leave)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        return pdf.assign(regime=latch(pdf["raw"], {"in_risk": False, "entering": 0, "leaving": 0}, enter, leave))
 
-    kinds = dict(raws.dtypes)
-    return raws.select("strategy_id", "date", "raw").groupBy("strategy_id").applyInPandas(run, f"strategy_id {kinds['strategy_id']}, date {kinds['date']}, raw string, regime string")
+def gated_curve(days: DataFrame, keys: list[str], lag: int = 1, cost_bps: float = 10.0) -> DataFrame:
+    """Adds exposure, shift, net return, net value and its fall from the peak to days with regime, exposures and ``ret``."""
+    own = Window.partitionBy(*keys).orderBy("date")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    want = F.when(F.col("regime") == "risk", F.col("risk_exposure")).when(F.col("regime") == "caution", F.col("caution_exposure")).otherwise(1.0)
+    x = days.withColumn("held", F.coalesce(F.lag(want, lag).over(own), F.lit(1.0)))
+    x = x.withColumn("shift", F.coalesce(F.abs(F.col("held") - F.lag("held").over(own)), F.lit(0.0)))
+    x = x.withColumn("net", F.col("held") * F.coalesce("ret", F.lit(0.0)) - F.col("shift") * cost_bps / 1e4)
+    x = x.withColumn("equity", F.exp(F.sum(F.log(1 + F.col("net"))).over(upto)))
+    return x.withColumn("fall", 1 - F.col("equity") / F.max("equity").over(upto))
 
 
 def gate_replay(returns: DataFrame, raws: DataFrame, grid: DataFrame, lag: int = 1, cost_bps: float = 10.0) -> DataFrame:
     """Net value of each strategy under each configuration (enter, leave, risk and caution exposure) of the gate, with costs of shifts.
 
-    ``grid`` is a row for each configuration; each strategy and configuration go to one call with the market's daily rows."""
-    days = returns.join(raws.select("strategy_id", "date", "raw"), "date").select("strategy_id", "date", "ret", "raw")
-    x = days.crossJoin(F.broadcast(grid))
+    ``grid`` is a row for each configuration."""
+    keys = ["strategy_id", "config_id"]
+    days = returns.join(raws.select("strategy_id", "date", "raw"), "date").select("strategy_id", "date", "ret", "raw").crossJoin(F.broadcast(grid))
+    x = gated_curve(confirmed(days, keys, F.col("enter"), F.col("leave")), keys, lag, cost_bps)
+    return x.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("days"), (F.max_by("equity", "date") - 1).alias("total"), F.max("fall").alias("max_drawdown"), F.avg("held").alias("mean_exposure"), F.count_if(F.col("shift") > 0).alias("shifts")
+    )
+
+
+#: The gate's parameters in force, and those that are tried.
+GATE_CURRENT = {"risk_mean": -0.005, "risk_neg": 0.60, "risk_exposure": 0.90, "caution_exposure": 0.95, "hysteresis": 5}
+GATE_TRIED = {
+    "risk_mean": [-0.003, -0.006, -0.009, -0.012, -0.015],
+    "risk_neg": [0.50, 0.55, 0.60, 0.65, 0.70],
+    "risk_exposure": [0.70, 0.75, 0.80, 0.85, 0.90, 0.95],
+    "caution_exposure": [0.80, 0.85, 0.90, 0.95, 1.00],
+    "hysteresis": [2, 3, 4, 5],
+}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        c = pdf.iloc[0]
-        regime = latch(pdf["raw"], {"in_risk": False, "entering": 0, "leaving": 0}, int(c["enter"]), int(c["leave"]))
-        want = pd.Series([{"risk": c["risk_exposure"], "caution": c["caution_exposure"]}.get(r, 1.0) for r in regime])
-        held = want.shift(lag).fillna(1.0)
-        net = held.to_numpy() * pdf["ret"].fillna(0.0).to_numpy() - held.diff().abs().fillna(0.0).to_numpy() * cost_bps / 1e4
-        eq = (1 + pd.Series(net)).cumprod()
-        return pd.DataFrame({"strategy_id": [c["strategy_id"]], "config_id": [c["config_id"]], "days": [len(pdf)], "total": [eq.iloc[-1] - 1], "max_drawdown": [float((1 - eq / eq.cummax()).max())], "mean_exposure": [held.mean()], "shifts": [int((held.diff().abs() > 0).sum())]})
 
-    return x.groupBy("strategy_id", "config_id").applyInPandas(run, f"strategy_id {dict(raws.dtypes)['strategy_id']}, config_id {dict(grid.dtypes)['config_id']}, days long, total double, max_drawdown double, mean_exposure double, shifts long")
+def one_at_a_time() -> list[tuple]:
+    """(config_id, param, value, then the five parameters): each value of each parameter with the others as they are."""
+    rows = [(p, float(v), *(GATE_CURRENT | {p: v}).values()) for p, values in GATE_TRIED.items() for v in values]
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+def sampled(n: int = 200, seed: int = 42) -> list[tuple]:
+    """As ``one_at_a_time``: ``n`` seeded draws of all parameters, each once, none with more exposure in risk than in caution."""
+    import numpy as np
+
+    rng, seen = np.random.default_rng(seed), []
+    for _ in range(n):
+        c = {p: float(rng.choice(values)) for p, values in GATE_TRIED.items()}
+        if c not in seen and c["risk_exposure"] <= c["caution_exposure"]:
+            seen.append(c)
+    return [(i, "all", 0.0, *(GATE_CURRENT | c | {"hysteresis": int(c["hysteresis"])}).values()) for i, c in enumerate(seen)]
+
+
+GATE_SCHEMA = "config_id int, param string, value double, risk_mean double, risk_neg double, risk_exposure double, caution_exposure double, hysteresis int"
+
+
+def gate_sensitivity(returns: DataFrame, ics: DataFrame, grid: DataFrame, lag: int = 1, cost_bps: float = 10.0, year: int = 252) -> DataFrame:
+    """What each configuration of the gate changes for each strategy: Sharpe ratio, growth and drawdown in percentage points,
+    share of risk days and mean exposure."""
+    keys = ["strategy_id", "config_id", "param", "value"]
+    days = returns.join(regime_stats(ics), "date").crossJoin(F.broadcast(grid)).withColumn("raw", regime_of(F.col("risk_mean"), F.col("risk_neg")))
+    x = gated_curve(confirmed(days, ["strategy_id", "config_id"], F.col("hysteresis"), F.col("hysteresis")), ["strategy_id", "config_id"], lag, cost_bps)
+    own = Window.partitionBy("strategy_id", "config_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("__r", F.coalesce("ret", F.lit(0.0))).withColumn("__e", F.exp(F.sum(F.log(1 + F.col("__r"))).over(own)))
+    x = x.withColumn("__f", 1 - F.col("__e") / F.max("__e").over(own))
+    sharpe = lambda c: F.when(F.stddev_samp(c) > 1e-12, F.avg(c) / F.stddev_samp(c) * year**0.5)
+    growth = lambda c: F.pow(F.max_by(c, "date"), year / F.count(F.lit(1))) - 1
+    return x.groupBy(*keys).agg(
+        (sharpe("net") - sharpe("__r")).alias("sharpe_diff"), ((growth("equity") - growth("__e")) * 100).alias("growth_diff"), ((F.max("__f") - F.max("fall")) * 100).alias("drawdown_gain"),
+        F.avg((F.col("regime") == "risk").cast("double")).alias("risk_share"), F.avg("held").alias("mean_exposure"),
+    )
+
+
+def gate_spread(rows: DataFrame) -> DataFrame:
+    """Parameters of each strategy's gate ranked by how far the Sharpe ratio moves over the values tried."""
+    x = rows.groupBy("strategy_id", "param").agg(F.count(F.lit(1)).alias("n"), (F.max("sharpe_diff") - F.min("sharpe_diff")).alias("sharpe_spread"), (F.max("growth_diff") - F.min("growth_diff")).alias("growth_spread"))
+    return x.withColumn("rank", F.row_number().over(Window.partitionBy("strategy_id").orderBy(F.round("sharpe_spread", 7).desc_nulls_last(), "param")))
+
+
+def gate_passes(rows: DataFrame) -> DataFrame:
+    """Whether a configuration costs little and helps enough; the bounds are fixed values."""
+    ok = (F.col("sharpe_diff") > -0.05) & (F.col("drawdown_gain") >= 0.5) & F.col("risk_share").between(0.15, 0.25) & (F.col("growth_diff") > -2.0)
+    return rows.withColumn("passes", F.coalesce(ok, F.lit(False)))
 
 
 def normal_cdf(c: Column) -> Column:
@@ -175,19 +263,27 @@ def sharpe_tests(curve: DataFrame, trials: int = 10, benchmark: float = 0.0, con
     return x.select("curve_id", "n", "sharpe", "skew", "kurt", normal_cdf(z(F.lit(benchmark))).alias("psr"), normal_cdf(z(F.col("__best"))).alias("dsr"), least.alias("min_track"))
 
 
-def cscv_pbo(returns: DataFrame, blocks: int = 8) -> DataFrame:
+def cscv_pbo(returns: DataFrame, blocks: int = 8, metric: Callable[[Column], Column] | None = None) -> DataFrame:
     """Probability of backtest overfitting by combinatorial symmetric cross-validation: one row.
 
     (block, config, ret) shrinks to moments; each half of the blocks is a row of a small table, and its Sharpe ratios come
-    from summed moments, so the returns are read once whatever the number of combinations."""
+    from summed moments, so the returns are read once whatever the number of combinations.  ``metric`` is another measure of
+    a column of returns, any aggregate (a pandas one too); it sees all returns of each half, so they are repeated for each
+    combination."""
     spark = returns.sparkSession
     halves = list(itertools.combinations(range(blocks), blocks // 2))
     combos = spark.createDataFrame([(i, b, b in half) for i, half in enumerate(halves) for b in range(blocks)], "combo int, block int, inside boolean")
+    if metric:
+        x = returns.join(F.broadcast(combos), "block").groupBy("combo", "config", "inside").agg(metric(F.col("ret")).cast("double").alias("sr"))
+        return _pbo_of(x)
     m = returns.groupBy("block", "config").agg(F.count("ret").cast("double").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
     x = m.join(F.broadcast(combos), "block").groupBy("combo", "config", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
     var = (F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1)
-    x = x.select("combo", "config", "inside", F.when(var > 1e-18, mean / F.sqrt(var)).otherwise(0.0).alias("sr"))
+    return _pbo_of(x.select("combo", "config", "inside", F.when(var > 1e-18, mean / F.sqrt(var)).otherwise(0.0).alias("sr")))
+
+
+def _pbo_of(x: DataFrame) -> DataFrame:
     y = x.groupBy("combo", "config").agg(F.max(F.when(F.col("inside"), F.col("sr"))).alias("is_sr"), F.max(F.when(~F.col("inside"), F.col("sr"))).alias("oos_sr"))
     w = Window.partitionBy("combo")
     y = y.withColumns({"__best": F.row_number().over(w.orderBy(F.desc("is_sr"), "config")), "__rank": F.rank().over(w.orderBy("oos_sr")) + (F.count(F.lit(1)).over(Window.partitionBy("combo", "oos_sr")) - 1) / 2, "__n": F.count(F.lit(1)).over(w)})
@@ -195,17 +291,50 @@ def cscv_pbo(returns: DataFrame, blocks: int = 8) -> DataFrame:
     return best.agg(F.count(F.lit(1)).alias("combos"), F.avg((F.col("lam") < 0).cast("double")).alias("pbo"), F.avg("lam").alias("lambda_mean"), F.avg("omega").alias("omega_mean"), F.regr_slope("oos_sr", "is_sr").alias("slope"), F.avg((F.col("oos_sr") < 0).cast("double")).alias("loss_prob"))
 
 
+def _in_blocks(intervals: DataFrame, k: int) -> DataFrame:
+    """Samples with their number ``__n`` and their block ``own`` of k contiguous ones, of which the first n % k have one more."""
+    n = intervals.agg(F.count(F.lit(1)).alias("__n"))  # one row, summed before it is broadcast
+    x = intervals.crossJoin(F.broadcast(n))
+    small, extra = F.floor(F.col("__n") / k), F.col("__n") % k
+    head = extra * (small + 1)
+    return x.withColumn("own", F.when(F.col("i") < head, F.floor(F.col("i") / (small + 1))).otherwise(extra + F.floor((F.col("i") - head) / small)).cast("int"))
+
+
+def _roles(x: DataFrame, tests: DataFrame, fold: str, embargo: float) -> DataFrame:
+    """Roles of samples in each fold; ``tests`` has the blocks of each fold's test set, ``(fold, block)``.
+
+    A training row whose label overlaps a test block's span is purged, one just after the last test row embargoed."""
+    spans = x.groupBy("own").agg(F.min("t0").alias("a"), F.max("t1").alias("b"), F.max("i").alias("last")).withColumnRenamed("own", "block")
+    one = tests.join(spans, "block").groupBy(fold).agg(F.collect_list(F.struct("block", "a", "b")).alias("__spans"), F.max("last").alias("__last"))
+    y = x.crossJoin(F.broadcast(one))  # a row for each fold
+    test = F.exists("__spans", lambda s: s["block"] == F.col("own"))
+    overlap = F.exists("__spans", lambda s: (F.col("t0") <= s["b"]) & (F.col("t1") >= s["a"]))
+    late = (F.col("i") > F.col("__last")) & (F.col("i") <= F.col("__last") + F.floor(F.col("__n") * embargo))
+    return y.select(fold, "i", F.when(test, F.lit("test")).when(overlap, F.lit("purged")).when(late, F.lit("embargo")).otherwise(F.lit("train")).alias("role"))
+
+
 def purged_folds(intervals: DataFrame, k: int = 5, embargo: float = 0.01) -> DataFrame:
-    """(fold, i, role) of each sample and fold: contiguous test folds; training rows whose label overlaps the test span are purged, those just after it embargoed."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    x = intervals.withColumn("__n", n).withColumn("own", F.floor(F.col("i") * k / F.col("__n")).cast("int"))
-    # a row for each fold; overlap with a contiguous fold is overlap with its span or with one of its rows
-    spans = x.groupBy("own").agg(F.min("t0").alias("__a"), F.max("t1").alias("__b"), F.max("i").alias("__last")).withColumnRenamed("own", "fold")
-    y = x.crossJoin(F.broadcast(spans))
-    test = F.col("own") == F.col("fold")
-    overlap = (F.col("t0") <= F.col("__b")) & (F.col("t1") >= F.col("__a"))
-    emb = (F.col("i") > F.col("__last")) & (F.col("i") <= F.col("__last") + F.floor(F.col("__n") * embargo))
-    return y.select("fold", "i", F.when(test, F.lit("test")).when(overlap, F.lit("purged")).when(emb, F.lit("embargo")).otherwise(F.lit("train")).alias("role"))
+    """(fold, i, role) of each sample (i, t0, t1) and fold: contiguous test folds; training rows whose label overlaps the test
+    span are purged, those just after it embargoed."""
+    tests = intervals.sparkSession.createDataFrame([(f, f) for f in range(k)], "fold int, block int")
+    return _roles(_in_blocks(intervals, k), tests, "fold", embargo)
+
+
+def cpcv_paths(k: int, tests: int) -> int:
+    """Whole paths that the combinations' test blocks make."""
+    return math.comb(k, tests) * tests // k
+
+
+def cpcv(intervals: DataFrame, k: int = 6, tests: int = 2, embargo: float = 0.01) -> DataFrame:
+    """(combo, i, role, block) for each combination of ``tests`` out of k contiguous blocks, in the order of their numbers.
+
+    The embargo follows the last test row only."""
+    if not 1 <= tests < k:
+        raise ValueError("there must be one test block at least and one training block at least")
+    combos = [(c, b) for c, chosen in enumerate(itertools.combinations(range(k), tests)) for b in chosen]
+    x = _in_blocks(intervals, k)
+    roles = _roles(x, intervals.sparkSession.createDataFrame(combos, "combo int, block int"), "combo", embargo)
+    return roles.join(x.select("i", F.col("own").alias("block")), "i")
 
 
 def sign_flips(values, most: int = 16, draws: int = 200_000, seed: int = 42) -> tuple[int, float | None, float | None, float | None]:

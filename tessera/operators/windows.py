@@ -17,8 +17,8 @@ def frame(n: int, end: int = 0) -> Window:
     return sym().rowsBetween(end - n + 1, end)
 
 
-def factor_scores(bars: DataFrame) -> DataFrame:
-    """Six scores for every day: signal, trend, govern, liquidity, volatility, momentum reversal."""
+def factor_scores(bars: DataFrame, *also: str) -> DataFrame:
+    """Six scores for every day: signal, trend, govern, liquidity, volatility, momentum reversal; ``also`` names columns to keep."""
     chg = F.col("change_pct")
     mom = F.avg(chg).over(frame(20))
     vol = F.when(mom.isNotNull(), F.sqrt(F.greatest(F.avg(chg * chg).over(frame(20)) - mom * mom, F.lit(0.0))))
@@ -38,6 +38,7 @@ def factor_scores(bars: DataFrame) -> DataFrame:
         F.col("turnover").alias("f_liquidity"),
         F.when(F.coalesce(F.col("vol20"), F.lit(0.0)) == 0, 0.0).otherwise(1 - F.least(F.lit(1.0), F.col("vol20") / 5)).alias("f_vol"),
         (-F.col("mom20") / 5).alias("f_mom_rev"),
+        *also,
     )
 
 
@@ -260,11 +261,16 @@ def cross_trend(bars: DataFrame, threshold: float = 0.02, pairs: tuple = ((5, 20
     return x.select("symbol", "date", F.when(ready, label).otherwise(F.lit("OSCILLATE")).alias("state"), *[F.when(ready, F.col(c)).alias(c) for c in ("score", "bull_ratio", "bear_ratio", "sr_position", "volume_ratio")])
 
 
-def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), chg: str = "change_pct") -> DataFrame:
-    """Compounded change of the next h rows of the symbol; null where they aren't all there."""
+def with_forward(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), chg: str = "change_pct") -> DataFrame:
+    """Adds the compounded change of the next h rows of the symbol; null where they aren't all there."""
     grow = F.greatest(1 + F.coalesce(F.col(chg), F.lit(0.0)) / 100, F.lit(1e-12))
     x = bars.withColumn("__logs", F.sum(F.log(grow)).over(sym().rowsBetween(Window.unboundedPreceding, 0)))
-    return x.select("symbol", "date", *[(F.exp(F.lead("__logs", h).over(sym()) - F.col("__logs")) - 1).alias(f"fwd_{h}") for h in horizons])
+    return x.withColumns({f"fwd_{h}": F.exp(F.lead("__logs", h).over(sym()) - F.col("__logs")) - 1 for h in horizons}).drop("__logs")
+
+
+def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), chg: str = "change_pct") -> DataFrame:
+    """Compounded change of the next h rows of the symbol; null where they aren't all there."""
+    return with_forward(bars, horizons, chg).select("symbol", "date", *[f"fwd_{h}" for h in horizons])
 
 
 def exact_labels(bars: DataFrame, calendar: DataFrame, horizons: tuple[int, ...] = (1, 3), source_max: Column | None = None) -> DataFrame:
@@ -330,28 +336,34 @@ def expanding_zscore(panel: DataFrame, c: str, warmup: int = 10, limit: float =
     return panel.select("symbol", "date", F.when(F.count(c).over(w) >= warmup, z).otherwise(0.0).alias("z"))
 
 
-def _haar(pdf: pd.DataFrame) -> pd.DataFrame:
-    size, levels = 60, 3
-    pdf = pdf.sort_values("date")
-    x = pdf["close"].to_numpy(float)
-    out = np.full((len(x), 3), np.nan)
-    for i in range(size - 1, len(x)):
-        a = x[i - size + 1 : i + 1]
-        total, detail, last = float((a**2).sum()), [], None
-        for _ in range(levels):
-            a = a[: len(a) // 2 * 2]
-            d, a = (a[::2] - a[1::2]) / 2**0.5, (a[::2] + a[1::2]) / 2**0.5
-            detail.append(float((d**2).sum()))
-            last = d
-        out[i] = (a[-1] - a[0]) / max(1e-12, abs(a[0])), float(np.std(last)), sum(detail) / max(1e-12, total)
-    return pdf[["symbol", "date"]].assign(trend=out[:, 0], vol=out[:, 1], energy=out[:, 2])
-
-
-def haar_features(bars: DataFrame) -> DataFrame:
-    """Multi-scale features of the last 60 rows: trend of the smooth part, deviation of the coarsest detail, share of energy in the details."""
-    schema = ", ".join(f"{n} {t}" for n, t in bars.select("symbol", "date").dtypes) + ", trend double, vol double, energy double"
-    out = bars.select("symbol", "date", "close").groupBy("symbol").applyInPandas(_haar, schema)
-    return out.select("symbol", "date", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("trend", "vol", "energy")])
+def haar_features(bars: DataFrame, window: int = 60, levels: int = 3) -> DataFrame:
+    """Multi-scale features of the trailing rows by repeated halving: means of pairs go on to the next level, half differences
+    are its details.
+
+    ``trend_val`` and ``vol_val`` are the last places of the smooth part and of the finest details when their coefficients
+    are spread evenly over the window (zero where none falls there), the ratios are their shares of the energy, whose
+    logarithm is the last column.  Rows before a full window have zeros; a symbol with fewer rows has one row of features, its
+    last, over them all."""
+    own = Window.partitionBy("symbol")
+    n, total = F.row_number().over(sym()), F.count(F.lit(1)).over(own)
+    at = lambda a, i: F.element_at(a, i.cast("int"))
+    pairs = lambda a: F.sequence(F.lit(1), F.floor(F.size(a) / 2).cast("int"))
+    halved = lambda a, sign: F.when(F.size(a) >= 2, F.transform(pairs(a), lambda i: (at(a, 2 * i - 1) + sign * at(a, 2 * i)) / 2))
+    squares = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
+
+    def last_place(a: Column) -> Column:
+        step = F.floor(F.size("__x") / F.size(a))
+        k = (F.size("__x") - 1) / step
+        return F.when((k == F.floor(k)) & (k < F.size(a)), at(a, F.floor(k) + 1)).otherwise(0.0)
+
+    full = (n >= window) | ((total < window) & (n == total) & (total >= 2))
+    x = bars.select("symbol", "date", F.when(full, F.collect_list("close").over(frame(window))).alias("__x"))
+    x = x.withColumn("__d", halved(F.col("__x"), -1)).withColumn("__a", F.col("__x"))
+    for _ in range(levels):
+        x = x.withColumn("__a", F.coalesce(halved(F.col("__a"), 1), F.col("__a")))
+    energy = squares(F.col("__x")) + 1e-10
+    out = {"trend_val": last_place(F.col("__a")), "vol_val": last_place(F.col("__d")), "trend_ratio": squares(F.col("__a")) / energy, "vol_ratio": squares(F.col("__d")) / energy, "energy_log": F.log1p(energy)}
+    return x.select("symbol", "date", *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in out.items()])
 
 
 def fill_change(bars: DataFrame) -> DataFrame:

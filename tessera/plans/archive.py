@@ -8,7 +8,7 @@ from tessera.operators import archive as A
 from tessera.operators import ic, quality, xsec
 from tessera.operators import portfolio as B
 from tessera.operators import windows as W
-from tessera.plans.evaluation import COMPOSITE, FUSION, IC, LEAST, NEUTRAL, PIT, composite_panel, neutral_panel, pit_panel, scores_long
+from tessera.plans.evaluation import COMPOSITE, FUSION, IC, LEAST, NEUTRAL, PIT, WATCH, WATCH_SCORE, WATCHED, composite_panel, neutral_panel, pit_panel, scores_long
 from tessera.plans.portfolio import PORT, TOP, portfolio, top_weights
 from tessera.plans.registry import query
 from tessera.plans.windows import FWD
@@ -194,10 +194,8 @@ def _(spark, d):
     return y.groupBy("bucket").agg(F.avg("m").alias("mean_return"), F.count(F.lit(1)).alias("days"))
 
 
-@query("b85_watch_report", "date:d defined pool")
+@query("b85_watch_report", "date:d defined pool", "bars fin dim", WATCHED + f", ws as ({WATCH_SCORE})", "select date, count(watch) as defined, count(*) as pool from ws group by date")
 def _(spark, d):
-    from tessera.plans.evaluation import WATCH
-
     x = xsec.watch_score(xsec.neutralize(pit_panel(spark, d), WATCH, least=LEAST))
     return x.groupBy("date").agg(F.count("watch").alias("defined"), F.count(F.lit(1)).alias("pool"))
 

@@ -16,10 +16,13 @@ FACTORS = ["mom20", "vol20", "f_liquidity"]
 LEAST = 5
 
 
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return W.factor_scores(W.with_forward(P.bars(spark, d)), "fwd_1", "fwd_5", "fwd_20")
+
+
 def scores_long(spark: SparkSession, d: str, label: str = "fwd_1") -> DataFrame:
-    """(date, symbol, factor, value, label): factors and forward returns side by side come from windows on the same key."""
-    b = P.bars(spark, d)
-    x = W.factor_scores(b).join(W.forward_returns(b), ["symbol", "date"])
+    """(date, symbol, factor, value, label): factors and forward returns come from windows on the same key over one panel."""
+    x = scored(spark, d)
     return xsec.melt(x.withColumn("label", F.col(label)), ["date", "symbol", "label"], FACTORS)
 
 
@@ -81,9 +84,7 @@ c as (select date, factor, horizon, count(*) as n, case when stddev_pop(a) >= 1e
     "select factor, horizon, count(ic) as days, avg(ic) as ic_mean from c where n >= 5 and ic is not null group by 1, 2",
 )
 def _(spark, d):
-    b = P.bars(spark, d)
-    x = W.factor_scores(b).join(W.forward_returns(b), ["symbol", "date"])
-    x = xsec.melt(x, ["date", "symbol", "fwd_1", "fwd_5", "fwd_20"], FACTORS)
+    x = xsec.melt(scored(spark, d), ["date", "symbol", "fwd_1", "fwd_5", "fwd_20"], FACTORS)
     x = xsec.melt(x, ["date", "symbol", "factor", "value"], ["fwd_1", "fwd_5", "fwd_20"], "horizon", "label")
     return ic.rank_ic(x, ["date", "factor", "horizon"], least=LEAST).where("ic is not null").groupBy("factor", "horizon").agg(F.count("ic").alias("days"), F.avg("ic").alias("ic_mean"))
 
@@ -152,10 +153,7 @@ pit as (select *, ln(close * float_shares) as ln_size, case when bvps > 0 then 1
 
 def pit_panel(spark: SparkSession, d: str) -> DataFrame:
     """Bars with the reports known on each date, the dimension and the value factors."""
-    fin = P.financials(spark, d)
-    for v, n in (("roe", "roe_yy_chg"), ("revenue", "rev_yoy"), ("profit", "np_yoy")):
-        fin = pit.year_ago(fin, v, n)
-    fin = fin.withColumn("avail", S.available_on("period"))
+    fin = pit.year_ago(P.financials(spark, d), {"roe": "roe_yy_chg", "revenue": "rev_yoy", "profit": "np_yoy"}).withColumn("avail", S.available_on("period"))
     x = pit.asof(P.bars(spark, d).select("symbol", "date", "close"), fin, "symbol", "date", "avail", ["period"], ["period", "roe", "bvps", "ocf_ps", "roe_yy_chg", "rev_yoy", "np_yoy"])
     x = x.join(P.dimension(spark, d).select("symbol", "industry", "float_shares"), "symbol")
     return x.withColumns(
@@ -174,7 +172,7 @@ def _(spark, d):
 
 @query("j11_year_ago", "symbol period:d roe:6 roe_yy_chg:6", "fin bars dim", PIT, "select symbol, period, roe, roe_yy_chg from fy")
 def _(spark, d):
-    return pit.year_ago(P.financials(spark, d), "roe", "roe_yy_chg")
+    return pit.year_ago(P.financials(spark, d), {"roe": "roe_yy_chg"})
 
 
 @query("f05_available_on", "symbol period:d avail:d q", "fin bars dim", PIT, "select symbol, period, avail, cast(q as integer) as q from st")
@@ -221,14 +219,12 @@ def _(spark, d):
 
 
 WATCH = ["rev_yoy", "np_yoy", "roe_yy_chg", "roe", "bvps"]
+WATCHED = PIT + ",\n" + ",\n".join(z_sql(f, p) for f, p in zip(WATCH, ["pit", *[f"{x}5" for x in WATCH[:-1]]]))
+WATCH_SCORE = """select symbol, date, case when z_bvps is null or z_rev_yoy is null or z_np_yoy is null or z_roe_yy_chg is null or z_roe is null then 'missing' when round(z_bvps, 9) < 0 then 'bvps_neg' when abs(z_roe) + sqrt(round(z_bvps, 9)) < 1e-9 then 'div_nonfinite' end as reason,
+    case when round(z_bvps, 9) >= 0 and abs(z_roe) + sqrt(greatest(round(z_bvps, 9), 0)) >= 1e-9 then (abs(z_rev_yoy) - (z_np_yoy + z_roe_yy_chg)) / (abs(z_roe) + sqrt(greatest(round(z_bvps, 9), 0))) end as watch from bvps5"""
 
 
-@query(
-    "w37_watch_score", "symbol date:d reason watch:4", "bars fin dim",
-    PIT + ",\n" + ",\n".join(z_sql(f, p) for f, p in zip(WATCH, ["pit", *[f"{x}5" for x in WATCH[:-1]]])),
-    """select symbol, date, case when z_bvps is null or z_rev_yoy is null or z_np_yoy is null or z_roe_yy_chg is null or z_roe is null then 'missing' when round(z_bvps, 9) < 0 then 'bvps_neg' when abs(z_roe) + sqrt(round(z_bvps, 9)) < 1e-9 then 'div_nonfinite' end as reason,
-    case when round(z_bvps, 9) >= 0 and abs(z_roe) + sqrt(greatest(round(z_bvps, 9), 0)) >= 1e-9 then (abs(z_rev_yoy) - (z_np_yoy + z_roe_yy_chg)) / (abs(z_roe) + sqrt(greatest(round(z_bvps, 9), 0))) end as watch from bvps5""",
-)
+@query("w37_watch_score", "symbol date:d reason watch:4", "bars fin dim", WATCHED, WATCH_SCORE)
 def _(spark, d):
     return xsec.watch_score(xsec.neutralize(pit_panel(spark, d), WATCH, least=LEAST))
 

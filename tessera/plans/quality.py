@@ -11,6 +11,7 @@ from tessera.plans.registry import query
 from tessera.plans.windows import FWD
 from tessera.sources import panels as P
 from tessera.sources import stores
+from tessera.sources.scratch import shared_folder
 
 
 @query("a04_table_stats", "rows last_day:d null_change_pct:8 duplicate_share:8", "bars", "", "select count(*) as rows, max(date) as last_day, 1 - count(change_pct) / count(*)::double as null_change_pct, 1 - count(distinct (symbol, date)) / count(*)::double as duplicate_share from bars")
@@ -145,3 +146,21 @@ def _(spark, d):
 
     h = P.events_bars(spark, d).select("symbol", "date", "volume")
     return stores.merge_snapshot(h, h.groupBy("symbol").agg(F.max("volume").alias("volume")), datetime.date(2024, 1, 15), ["symbol"])
+
+
+@query("b59_verify_manifest", "name status", "", "", "select event_type as name, case when event_type = 'error' then 'changed' when event_type = 'view' then 'missing' else 'ok' end as status from events group by event_type union all select 'more' as name, 'extra' as status")
+def _(spark, d):
+    at = shared_folder(spark)
+    kind = F.nullif(F.regexp_extract("path", "event_type=([^/]*)/part-", 1), F.lit(""))
+
+    def write(df, to):
+        # a file for each type, its rows in order, so that equal rows give equal files
+        line = F.concat_ws(",", "event_id", F.round("value", 6).cast("string"))
+        df.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", line.alias("value")).write.partitionBy("event_type").text(to)
+
+    e = P.read(spark, d, "events").select("event_type", "event_id", "value")
+    write(e, f"{at}/first")
+    more = e.where("event_type = 'click'").withColumn("event_type", F.lit("more"))
+    later = e.where("event_type <> 'view'").withColumn("value", F.when(F.col("event_type") == "error", F.col("value") + 1).otherwise(F.col("value")))
+    write(later.unionByName(more), f"{at}/later")
+    return Q.verify_manifest(spark, f"{at}/later", Q.manifest_of(spark, f"{at}/first", kind), kind)

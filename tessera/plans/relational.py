@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
@@ -15,7 +17,10 @@ from tessera.sources import panels as P
 
 @query("s02_recent_window", "symbol date:d volume turnover:6", "bars", "", "select * from bars where date >= (select max(date) from bars) - 200")
 def _(spark, d):
-    return R.recent_window(P.bars(spark, d), 200)
+    # the raw column's latest day gives the months that are needed, so older ones are never read
+    top = R.latest(P.read(spark, d, "lineitem"), "l_shipdate")
+    before = datetime.date(top.year, top.month, 1) - datetime.timedelta(201)
+    return P.bars(spark, d, since=datetime.date(before.year + before.month // 12, before.month % 12 + 1, 1))
 
 
 @query("s03_day_section", "symbol date:d volume turnover:6", "bars", "", "select * from bars where date = date '1998-03-01'")
@@ -295,7 +300,17 @@ def _(spark, d):
     return R.top_n(x.withColumn("score", F.round(0.4 * F.col("p_f_govern") + 0.6 * F.col("p_f_liquidity"), 9)), "score", 10, "date")
 
 
-@query("t01_weighted_components", "date:d symbol score:8 rank")
+def percentile_sql(c: str) -> str:
+    return f"coalesce(case when {c} is not null and count({c}) over (partition by date) > 1 then (rank() over (partition by date, {c} is null order by {c}) + (count(*) over (partition by date, {c}) - 1) / 2.0e0 - 1) / (count({c}) over (partition by date) - 1) end, 0.5)"
+
+
+@query("t01_weighted_components", "date:d symbol score:8 rank", "bars",
+    f"""fx as (select *, avg(change_pct) {sql_frame(20)} as mom20, avg(change_pct * change_pct) {sql_frame(20)} as sq, avg(close) {sql_frame(20)} as sma20, avg(close) {sql_frame(60)} as sma60 from bars),
+fy as (select *, case when mom20 is not null then sqrt(greatest(sq - mom20 * mom20, 0)) end as vol20, cast(close > sma20 as int) + cast(sma20 > sma60 as int) as up, cast(close < sma20 as int) + cast(sma20 < sma60 as int) as dn from fx),
+fz as (select symbol, date, (up - dn) * turnover as f_signal, case when up = 2 then 1.0e0 when dn = 2 then -1.0e0 else 0.0e0 end as f_trend, case when change_pct is not null then least(greatest(1 - abs(change_pct) / 10, -1), 1) end as f_govern, turnover as f_liquidity,
+    case when coalesce(vol20, 0) = 0 then 0 else 1 - least(1, vol20 / 5) end as f_vol, -mom20 / 5 as f_mom_rev from fy),
+fs as (select date, symbol, round({' + '.join(f'{w}e0 * {percentile_sql(c)}' for c, w in R.SELECT_WEIGHTS.items())}, 9) as score from fz)""",
+    "select date, symbol, score, cast(row_number() over (partition by date order by score desc, symbol) as integer) as rank from fs qualify row_number() over (partition by date order by score desc, symbol) <= 10")
 def _(spark, d):
     return R.selection(W.factor_scores(P.bars(spark, d)))
 

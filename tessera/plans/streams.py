@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
+from tessera.plans.statistics import gate_sql
 from tessera.sources.scratch import shared_folder
 from tessera.streaming import ops
 
@@ -54,7 +55,8 @@ def _(spark, d):
     return table(spark, ops.failure_streak(stream(spark, d), "user_id", ["ts", "event_id", "event_type"], "error"))
 
 
-@query("z07_streaming_gate", "user_id id raw regime")
+@query("z07_streaming_gate", "user_id id raw regime", "", "ev as (select user_id, event_id as id, ts, case when value > 60 then 'risk' when value > 30 then 'caution' else 'normal' end as raw from events),\n" + gate_sql("ev", "user_id", "2", "2", "ts, id"),
+    "select user_id, id, raw, regime from gate")
 def _(spark, d):
     raw = F.when(F.col("value") > 60, F.lit("risk")).when(F.col("value") > 30, F.lit("caution")).otherwise(F.lit("normal"))
     return table(spark, ops.gate(stream(spark, d).withColumn("raw", raw), "user_id", ["ts", "event_id", "raw"], 2, 2))

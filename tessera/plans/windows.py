@@ -76,12 +76,32 @@ def _(spark, d):
     return W.adjusted_close(P.bars(spark, d)).withColumn("log_adj", F.log("adj_close"))
 
 
-@query("w12_technical_ewm", "symbol date:d rsi:6 dif:6 dea:6 macd:6 atr:6")
+def ewm_sql(values: str, alpha: str) -> str:
+    """The exponentially weighted mean of a list, from its first value on."""
+    return f"case when len({values}) > 0 then list_reduce({values}, lambda s, v: s * (1 - {alpha}) + v * {alpha}) end"
+
+
+UPTO = "over (partition by symbol order by date rows unbounded preceding)"
+TECHNICAL = f"""t0 as (select *, lag(close) {O}) as pc from bars),
+t1 as (select *, close - pc as df, case when pc is null then high - low else greatest(high - low, abs(high - pc), abs(low - pc)) end as tr from t0),
+t2 as (select *, list(close) {UPTO} as lc, list(greatest(df, 0)) filter (df is not null) {UPTO} as lu, list(greatest(-df, 0)) filter (df is not null) {UPTO} as ld, list(tr) {UPTO} as lt from t1),
+t3 as (select *, {ewm_sql('lu', '(1 / 14.0e0)')} as up, {ewm_sql('ld', '(1 / 14.0e0)')} as dn, {ewm_sql('lt', '(1 / 14.0e0)')} as atr, {ewm_sql('lc', '(2 / 13.0e0)')} - {ewm_sql('lc', '(2 / 27.0e0)')} as dif from t2),
+t4 as (select *, list(dif) {UPTO} as lf from t3),
+te as (select symbol, date, high, low, close, case when dn != 0 then 100 - 100 / (1 + up / dn) end as rsi, dif, {ewm_sql('lf', '0.2e0')} as dea, atr from t4)"""
+
+
+@query("w12_technical_ewm", "symbol date:d rsi:6 dif:6 dea:6 macd:6 atr:6", "bars", TECHNICAL, "select *, 2 * (dif - dea) as macd from te")
 def _(spark, d):
     return W.technical(P.bars(spark, d))
 
 
-@query("w13_technical_signal", "symbol date:d raw_signal:8 signal:8")
+@query("w13_technical_signal", "symbol date:d raw_signal:8 signal:8", "bars",
+    TECHNICAL + f""", s0 as (select *, 2 * (dif - dea) as macd, row_number() {O}) as n, avg(close) {sql_frame(20)} as a20, avg(close) {sql_frame(60)} as a60, max(high) {sql_frame(20)} as x20, min(low) {sql_frame(20)} as i20 from te),
+s1 as (select *, case when n >= 20 then a20 end as s20, case when n >= 60 then a60 end as s60, case when n >= 20 then x20 end as h20, case when n >= 20 then i20 end as l20 from s0),
+s2 as (select symbol, date, (0.3e0 * case when rsi > 70 then -0.5e0 when rsi < 30 then 0.5e0 else (rsi - 50) / 20 end + 0.25e0 * case when macd > 0 and dif > dea then 0.3e0 when macd < 0 and dif < dea then -0.3e0 else 0e0 end
+    + 0.25e0 * case when close > s20 and s20 > s60 then 0.3e0 when close < s20 and s20 < s60 then -0.3e0 else 0e0 end + 0.2e0 * case when close > h20 * 0.98e0 then 0.2e0 when close < l20 * 1.02e0 then -0.2e0 else 0e0 end)
+    * case when atr > 0 then least(1, 0.02e0 / atr) else 1e0 end as raw_signal from s1)""",
+    f"select *, avg(raw_signal) {sql_frame(5)} as signal from s2")
 def _(spark, d):
     return W.technical_signal(W.technical(P.bars(spark, d)))
 
@@ -98,28 +118,34 @@ def _(spark, d):
     return W.trend_score(P.events_bars(spark, d))
 
 
-@query("w15_symbolic_state", "symbol date:d alignment bb_position:4 range_position:5 breakout volume_price atr_percentile:4",
-    "bars",
-    f"""x as (select *, row_number() {O}) as n, lag(close) {O}) as p1, lag(close, 4) {O}) as c5, avg(close) {sql_frame(5)} as m5_, avg(close) {sql_frame(20)} as m20_, avg(close) {sql_frame(60)} as m60_,
+SYMBOLIC = f"""x as (select *, row_number() {O}) as n, lag(close) {O}) as p1, lag(close, 4) {O}) as c5, avg(close) {sql_frame(5)} as m5_, avg(close) {sql_frame(20)} as m20_, avg(close) {sql_frame(60)} as m60_,
     avg(close) {sql_frame(120)} as m120_, stddev_samp(close) {sql_frame(20)} as sd_, max(high) {sql_frame(20)} as h, min(low) {sql_frame(20)} as l, avg(volume) {sql_frame(20)} as v20 from bars),
 y as (select *, case when n >= 120 then m120_ end as m120, m5_ as m5, m20_ as m20, m60_ as m60, case when n >= 20 then sd_ end as sd,
     avg(case when p1 is null then high - low else greatest(high - low, abs(high - p1), abs(low - p1)) end) {sql_frame(14)} as atr,
     case when c5 > 0 then close / c5 - 1 else 0 end as pc, case when v20 > 1e-9 then volume / v20 else 1 end as vc from x),
-z as (select *, list(atr) {sql_frame(60)} as la from y)""",
-    """select symbol, date, case when m120 is null then 'unknown' when close > m5 and m5 > m20 and m20 > m60 and m60 > m120 then 'bullish_full' when close > m20 and m20 > m60 and m60 > m120 then 'bullish_3'
+z as (select *, list(atr) {sql_frame(60)} as la from y)"""
+SYMBOLIC_STATE = """select symbol, date, case when m120 is null then 'unknown' when close > m5 and m5 > m20 and m20 > m60 and m60 > m120 then 'bullish_full' when close > m20 and m20 > m60 and m60 > m120 then 'bullish_3'
     when close > m20 and m20 > m60 then 'bullish_2' when close < m5 and m5 < m20 and m20 < m60 and m60 < m120 then 'bearish_full' when close < m20 and m20 < m60 and m60 < m120 then 'bearish_3'
     when close < m20 and m20 < m60 then 'bearish_2' else 'ranging' end as alignment,
     case when sd > 0 then least(greatest((close - (m20 - 2 * sd)) / (4 * sd), 0), 1) else 0.5 end as bb_position, case when h > l then least(greatest((close - l) / (h - l), 0), 1) else 0.5 end as range_position,
     case when close >= h * 0.995 then 'resistance_break' when close <= l * 1.005 then 'support_break' else 'inside_range' end as breakout,
     case when n < 20 then 'unknown' when pc > 0.02 and vc > 1.3 then 'vol_breakout_bull' when pc > 0.02 and vc < 0.8 then 'vol_divergence_bear' when pc < -0.02 and vc > 1.3 then 'vol_breakout_bear'
     when pc < -0.02 and vc < 0.8 then 'shrink_consolidate' else 'vol_normal' end as volume_price,
-    case when n >= 60 then len(list_filter(la, lambda a: a < atr)) / 60.0e0 else 0.5 end as atr_percentile from z""",
-)
+    case when n >= 60 then len(list_filter(la, lambda a: a < atr)) / 60.0e0 else 0.5 end as atr_percentile from z"""
+
+
+@query("w15_symbolic_state", "symbol date:d alignment bb_position:4 range_position:5 breakout volume_price atr_percentile:4", "bars", SYMBOLIC, SYMBOLIC_STATE)
 def _(spark, d):
     return W.symbolic_state(P.bars(spark, d))
 
 
-@query("w16_market_state", "date:d symbols trend:8 volume:8 bb_position:8 breakout:8 composite:8 confidence:8")
+def scores_sql(c: str, table: dict[str, float]) -> str:
+    return f"avg(case {c} " + " ".join(f"when '{k}' then {v}e0" for k, v in table.items()) + " else 0e0 end)"
+
+
+@query("w16_market_state", "date:d symbols trend:8 volume:8 bb_position:6 breakout:8 composite:8 confidence:8", "bars", SYMBOLIC + f""", sy as ({SYMBOLIC_STATE}),
+ms as (select date, count(*) as symbols, {scores_sql('alignment', W.ALIGN_SCORE)} as trend, {scores_sql('volume_price', W.VOLUME_SCORE)} as volume, avg(bb_position) as bb_position, {scores_sql('breakout', {'resistance_break': 1.0, 'support_break': -1.0})} as breakout from sy group by date),
+mc as (select *, 0.5e0 * trend + 0.25e0 * volume + 0.25e0 * breakout as composite from ms)""", "select *, least(greatest(abs(composite) * 2, 0), 1) as confidence from mc")
 def _(spark, d):
     return W.market_state(W.symbolic_state(P.bars(spark, d)))
 
@@ -248,7 +274,21 @@ def _(spark, d):
     return W.expanding_zscore(P.bars(spark, d), "change_pct")
 
 
-@query("w40_haar_features", "symbol date:d trend:8 vol:8 energy:8")
+def halved_sql(a: str) -> str:
+    return f"case when len({a}) >= 2 then [({a}[2 * i + 1] + {a}[2 * i + 2]) / 2 for i in range(len({a}) // 2)] else {a} end"
+
+
+def last_sql(a: str) -> str:
+    step = f"(len(x) // len({a}))"
+    return f"case when (len(x) - 1) % {step} = 0 and (len(x) - 1) // {step} < len({a}) then {a}[(len(x) - 1) // {step} + 1] else 0 end"
+
+
+@query("w40_haar_features", "symbol date:d trend_val:8 vol_val:8 trend_ratio:8 vol_ratio:8 energy_log:6", "bars",
+    f"""h0 as (select symbol, date, list(close) {sql_frame(60)} as x0, row_number() {O}) as n, count(*) over (partition by symbol) as total from bars),
+h1 as (select symbol, date, case when n >= 60 or (total < 60 and n = total and total >= 2) then x0 end as x from h0),
+h2 as (select *, [(x[2 * i + 1] - x[2 * i + 2]) / 2 for i in range(len(x) // 2)] as det, {halved_sql('x')} as b1 from h1), h3 as (select *, {halved_sql('b1')} as b2 from h2), h4 as (select *, {halved_sql('b2')} as b3, list_sum([v * v for v in x]) + 1e-10 as en from h3),
+h5 as (select symbol, date, {last_sql('b3')} as trend_val, {last_sql('det')} as vol_val, list_sum([v * v for v in b3]) / en as trend_ratio, list_sum([v * v for v in det]) / en as vol_ratio, ln(1 + en) as energy_log from h4)""",
+    "select symbol, date, coalesce(trend_val, 0) as trend_val, coalesce(vol_val, 0) as vol_val, coalesce(trend_ratio, 0) as trend_ratio, coalesce(vol_ratio, 0) as vol_ratio, coalesce(energy_log, 0) as energy_log from h5")
 def _(spark, d):
     return W.haar_features(P.bars(spark, d))
 

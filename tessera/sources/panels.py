@@ -14,9 +14,12 @@ def symbol(c: Column) -> Column:
     return F.lpad(c.cast("string"), 6, "0")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly bars by supplier: one aggregation, partial before the shuffle, and one window for the change."""
-    li = read(spark, sf_dir, "lineitem").select(
+def bars(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
+    """Monthly bars by supplier: one aggregation, partial before the shuffle, and one window for the change.
+
+    ``since``, the first day of a month, leaves older rows unread; the first month then has no change."""
+    raw = read(spark, sf_dir, "lineitem")
+    li = (raw.where(F.col("l_shipdate") >= F.lit(since).cast(dict(raw.dtypes)["l_shipdate"])) if since is not None else raw).select(
         symbol(F.col("l_suppkey")).alias("symbol"),
         F.trunc("l_shipdate", "month").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
