@@ -9,11 +9,13 @@ scored.
 
 Defined results: a null page or one without text is judged by the other evidence; a null URL has an empty host and suffix;
 a missing declaration is evidence of its own kind; without labelled documents the language is null; ties go to the language
-that sorts first; repeated rows get repeated results.
+that sorts first; repeated rows get repeated results, and count as often in the priors; a page of any length is read whole;
+an empty table gives an empty table; columns beside the id, URL and page are ignored.
 """
 
 from __future__ import annotations
 
+import html
 import re
 
 import numpy as np
@@ -63,7 +65,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def text_of(page: str | None) -> str:
-    return _TAGS.sub(" ", page or "")
+    return html.unescape(_TAGS.sub(" ", page or ""))
+
+
+def likelihood(text: str, logp: np.ndarray) -> np.ndarray:
+    """Log likelihoods of a text, best at zero; none without trigrams.  A long text is summed piece by piece."""
+    t = trigrams(text)
+    if len(t) < 3 or not len(logp):
+        return np.zeros(len(logp))
+    total = np.zeros(len(logp))
+    for k in range(0, len(t), 1 << 16):
+        total += logp[:, t[k : k + (1 << 16)]].sum(axis=1)
+    total *= min(1.0, EVIDENCE / len(t))
+    return total - total.max()
 
 
 def declared_of(page: Column) -> Column:
@@ -80,19 +94,10 @@ def score(pages: DataFrame, langs: list[str], logp: np.ndarray, id_col: str, url
     shared = pages.sparkSession.sparkContext.broadcast(logp)
 
     def run(cols):
-        out = []
-        for page in cols[html_col]:
-            t = trigrams(text_of(page))
-            if len(t) < 3 or not langs:
-                out.append(np.zeros(len(langs)))
-                continue
-            ll = shared.value[:, t].sum(axis=1) * min(1.0, EVIDENCE / len(t))
-            out.append(ll - ll.max())
-        return {k: cols[k] for k in (id_col, "__host", "__suffix", "__declared")} | {"__ll": out}
-
-    kind = dict(pages.dtypes)[id_col]
-    rows = pages.select(id_col, html_col, host_of(F.col(url_col)).alias("__host"), suffix_of(F.col(url_col)).alias("__suffix"), declared_of(F.col(html_col)).alias("__declared"))
-    return arrow_map(rows, run, f"`{id_col}` {kind}, __host string, __suffix string, __declared string, __ll array<double>")
+        return {"__ll": [likelihood(text_of(p), shared.value) for p in cols["__page"]]}
+
+    rows = pages.select(id_col, F.col(html_col).alias("__page"), host_of(F.col(url_col)).alias("__host"), suffix_of(F.col(url_col)).alias("__suffix"), declared_of(F.col(html_col)).alias("__declared"))
+    return arrow_map(rows, run, "__ll array<double>", (id_col, "__host", "__suffix", "__declared"))
 
 
 def _normal(v: Column) -> Column:

@@ -8,7 +8,8 @@ The store has a stream of samples (one packet for each second) and an index stre
 number and the sum of its samples).  Serial numbers come from the payload, so equal texts give equal bytes.
 
 Defined results: a null or empty text is stored as 192 bytes of value 32; a damaged page is dropped and counted, as is a
-packet that lost a part; a null media value gives no streams; other columns are ignored.
+packet that lost a part; a null media value gives no streams; repeated rows and equal texts give equal media; a text of any
+length is stored whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

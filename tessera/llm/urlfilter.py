@@ -4,7 +4,8 @@ Method: each distinct URL is expanded into expressions of a host suffix and a pa
 digests are equi-joined with those of the rules, then the full digests are compared and the longest rule wins.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and gets the default verdict;
-repeated rows get repeated results; of rules that are equally long the smaller string wins; no rules at all is allowed;
+repeated rows get repeated results; of rules that are equally long the smaller string wins; no rules at all is allowed; a
+URL of any length is expanded whole, into as many suffixes as its host has labels; an empty table gives an empty table;
 columns other than the id and the URL are ignored.
 """
 
