@@ -28,8 +28,15 @@ def fuse(long: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("date", "
 
 def evidence(long: DataFrame, segments: int = 4, least: int = 30) -> DataFrame:
     """Coverage, distinct values, deviation, full-sample rank IC and agreement of its sign over ordered segments, with reasons."""
-    w = Window.partitionBy("factor")
-    x = long.withColumn("__seg", F.ntile(segments).over(w.orderBy("date", "symbol")))
+    # places over all days from the days' counts (a row for each day and factor), so that no factor is sorted in one task
+    by = Window.partitionBy("factor").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    days = long.groupBy("factor", "date").agg(F.count(F.lit(1)).alias("__c"))
+    days = days.withColumns({"__before": F.coalesce(F.sum("__c").over(by), F.lit(0)), "__n": F.sum("__c").over(Window.partitionBy("factor"))}).drop("__c")
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("factor", "date").orderBy("symbol")) - 1
+    low, extra = F.floor(F.col("__n") / segments), F.col("__n") % segments
+    head = extra * (low + 1)
+    x = long.join(days, ["factor", "date"]).withColumn("__i", place)
+    x = x.withColumn("__seg", F.when(F.col("__i") < head, F.floor(F.col("__i") / (low + 1))).otherwise(extra + F.floor((F.col("__i") - head) / low)) + 1)
     base = x.groupBy("factor").agg((F.count("value") / F.count(F.lit(1))).alias("coverage"), F.countDistinct("value").alias("distinct"), F.stddev_samp("value").alias("std"))
     full = ic.rank_ic(x, ["factor"], least=least).select("factor", "n", F.col("ic").alias("ic"))
     seg = ic.rank_ic(x, ["factor", "__seg"], least=2).join(full.select("factor", F.col("ic").alias("all")), "factor")
