@@ -409,7 +409,9 @@ def risk_explained(returns: DataFrame, y: str, xs: list[str], key: str) -> DataF
 
 
 def degradation(perf: DataFrame) -> DataFrame:
-    """Consistency of recent against earlier returns, decay of activity, drift of skew, slope, and a weighted index 0 to 100."""
+    """Consistency of recent against earlier returns, decay of activity, drift of skew, slope, and a weighted index 0 to 100.
+
+    The weights and levels are fixed values."""
     w = Window.partitionBy("strategy_id")
     x = perf.withColumn("__i", F.row_number().over(w.orderBy("date")) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
     late = F.col("__i") * 2 >= F.col("__n")

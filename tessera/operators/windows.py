@@ -153,7 +153,9 @@ def technical(bars: DataFrame) -> DataFrame:
 
 
 def technical_signal(tech: DataFrame, smooth: int = 5) -> DataFrame:
-    """Weighted RSI, MACD, trend and breakout parts, scaled down in volatile markets; mean of the last rows."""
+    """Weighted RSI, MACD, trend and breakout parts, scaled down in volatile markets; mean of the last rows.
+
+    The thresholds and weights are fixed values."""
     c, rsi = F.col("close"), F.col("rsi")
     s20, s60 = ts("mean", "close", 20, 20), ts("mean", "close", 60, 60)
     h20, l20 = ts("max", "high", 20, 20), ts("min", "low", 20, 20)
@@ -220,12 +222,13 @@ def symbolic_state(bars: DataFrame) -> DataFrame:
 
 
 #: Fixed scores of the states.
+#: Scores of the states.
 ALIGN_SCORE = {"bullish_full": 1.0, "bullish_3": 0.7, "bullish_2": 0.4, "bearish_full": -1.0, "bearish_3": -0.7, "bearish_2": -0.4}
 VOLUME_SCORE = {"vol_breakout_bull": 0.6, "vol_divergence_bear": -0.3, "vol_breakout_bear": -0.6, "shrink_consolidate": 0.1}
 
 
 def market_state(states: DataFrame) -> DataFrame:
-    """Averages of the symbolic states over all symbols of a day, with a composite and its confidence."""
+    """Averages of the symbolic states over all symbols of a day, with a composite (of fixed weights) and its confidence."""
     def score(c: str, table: dict) -> Column:
         out = F.lit(0.0)
         for k, v in table.items():
