@@ -11,13 +11,40 @@ from tessera.functions.scalar import average_rank, correlation
 def rank_ic(long: DataFrame, keys: list[str], value: str = "value", label: str = "label", least: int = 30) -> DataFrame:
     """Spearman correlation with average ties by group of keys (day and, say, factor and horizon), with pairs and status."""
     x = long.where(F.col(value).isNotNull() & F.col(label).isNotNull())
-    x = x.select(*keys, average_rank(value, *keys).alias("__a"), average_rank(label, *keys).alias("__b"))
+    return _ic_of(x.select(*keys, average_rank(value, *keys).alias("__a"), average_rank(label, *keys).alias("__b")), keys, least)
+
+
+def _ic_of(x: DataFrame, keys: list[str], least: int) -> DataFrame:
     out = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("__a", "__b").alias("__ic"), F.stddev_pop("__a").alias("__sa"), F.stddev_pop("__b").alias("__sb"))
     flat = (F.col("__sa") < 1e-12) | (F.col("__sb") < 1e-12)
     status = F.when(F.col("n") < least, F.lit("insufficient_pairs")).when(flat, F.lit("constant_rank")).otherwise(F.lit("settled"))
     return out.withColumn("status", status).select(*keys, "n", "status", F.when(F.col("status") == "settled", F.col("__ic")).alias("ic"))
 
 
+def whole_ranks(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Adds ``__rank_<c>``, the average rank of each column in groups that are too large for one task.
+
+    Rows are dealt out by ranges of (keys, value), so equal values meet in one part; a place is the rows of the parts before
+    (a row for each group and part) and the place inside the part.  Columns must not be null."""
+    from tessera.sources.scratch import written
+
+    for c in columns:
+        dealt = written(df.repartitionByRange(*keys, c).withColumn("__part", F.spark_partition_id()))
+        by = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = dealt.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__c"))
+        parts = parts.select(*keys, "__part", F.coalesce(F.sum("__c").over(by), F.lit(0)).alias("__before"))
+        own = Window.partitionBy(*keys, "__part").orderBy(c)
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "__part", c))
+        df = dealt.join(parts, [*keys, "__part"]).withColumn(f"__rank_{c}", F.col("__before") + F.rank().over(own) + (ties - 1) / 2).drop("__part", "__before")
+    return df
+
+
+def whole_rank_ic(long: DataFrame, keys: list[str], value: str = "value", label: str = "label", least: int = 30) -> DataFrame:
+    """As ``rank_ic``, for few and large groups: no group is ranked in one task."""
+    x = long.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(*keys, value, label)
+    return _ic_of(whole_ranks(x, keys, [value, label]).select(*keys, F.col(f"__rank_{value}").alias("__a"), F.col(f"__rank_{label}").alias("__b")), keys, least)
+
+
 def pearson_ic(long: DataFrame, keys: list[str], value: str = "value", label: str = "label") -> DataFrame:
     x = long.where(F.col(value).isNotNull() & F.col(label).isNotNull())
     return x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation(value, label).alias("ic"))
@@ -104,10 +131,13 @@ def factor_drift(ics: DataFrame, keys: list[str], short: int = 20, long: int = 1
 
 def factor_correlation(long: DataFrame, least: int = 50, day: str = "date", symbol: str = "symbol") -> DataFrame:
     """Mean over days of the Spearman correlation of each two factors, over rows that have them all."""
+    from tessera.sources.scratch import written
+
     n = long.select("factor").distinct().count()
     whole = Window.partitionBy(day, symbol)
     x = long.where("value is not null").withColumn("__all", F.count(F.lit(1)).over(whole)).where(F.col("__all") == n)
-    x = x.select(day, symbol, "factor", average_rank("value", day, "factor").alias("__r"))
+    # ranked once and written, as both sides of the join read it
+    x = written(x.select(day, symbol, "factor", average_rank("value", day, "factor").alias("__r")))
     pairs = x.join(x.select(day, symbol, F.col("factor").alias("other"), F.col("__r").alias("__q")), [day, symbol]).where("factor < other")
     by_day = pairs.groupBy(day, "factor", "other").agg(F.count(F.lit(1)).alias("n"), correlation("__r", "__q").alias("c")).where(F.col("n") >= least)
     return by_day.groupBy("factor", "other").agg(F.avg("c").alias("corr"), F.count("c").alias("days"))

@@ -38,8 +38,8 @@ def evidence(long: DataFrame, segments: int = 4, least: int = 30) -> DataFrame:
     x = long.join(days, ["factor", "date"]).withColumn("__i", place)
     x = x.withColumn("__seg", F.when(F.col("__i") < head, F.floor(F.col("__i") / (low + 1))).otherwise(extra + F.floor((F.col("__i") - head) / low)) + 1)
     base = x.groupBy("factor").agg((F.count("value") / F.count(F.lit(1))).alias("coverage"), F.countDistinct("value").alias("distinct"), F.stddev_samp("value").alias("std"))
-    full = ic.rank_ic(x, ["factor"], least=least).select("factor", "n", F.col("ic").alias("ic"))
-    seg = ic.rank_ic(x, ["factor", "__seg"], least=2).join(full.select("factor", F.col("ic").alias("all")), "factor")
+    full = ic.whole_rank_ic(x, ["factor"], least=least).select("factor", "n", F.col("ic").alias("ic"))
+    seg = ic.whole_rank_ic(x, ["factor", "__seg"], least=2).join(full.select("factor", F.col("ic").alias("all")), "factor")
     agree = seg.groupBy("factor").agg(F.avg((F.signum("ic") == F.signum("all")).cast("double")).alias("agreement"))
     out = base.join(full, "factor", "left").join(agree, "factor", "left")
     reasons = F.array(F.when(F.col("coverage") < 0.5, F.lit("coverage")), F.when(F.col("std") <= 1e-12, F.lit("constant")), F.when(F.abs("ic") < 0.01, F.lit("weak")), F.when(F.col("agreement") < 0.75, F.lit("unstable")))

@@ -176,3 +176,14 @@ def test_plans_read_each_table_once(spark, sf_dir, tmp_path):
     assert "GreaterThanOrEqual(date" in plan_of(recent) and recent.count() == 6
     assert relational.recent_window(spark.read.parquet(path).limit(0), 5).count() == 0
     assert "GreaterThanOrEqual(l_shipdate" in plan_of(registry.QUERIES["s02_recent_window"](spark, sf_dir))
+
+
+def test_ranks_of_large_groups_equal_those_of_one_task(spark):
+    from tessera.operators import ic
+
+    rng = random.Random(6)
+    rows = [("f" if k % 4 else "g", float(rng.randint(0, 60)), rng.random() if k % 50 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "factor string, value double, label double")
+    a, b = ({r.factor: r for r in f(df, ["factor"]).collect()} for f in (ic.rank_ic, ic.whole_rank_ic))
+    assert a.keys() == b.keys() and all(a[k].n == b[k].n and a[k].status == b[k].status and a[k].ic == pytest.approx(b[k].ic, abs=1e-12) for k in a)
+    assert ic.whole_rank_ic(df.limit(0), ["factor"]).count() == 0
