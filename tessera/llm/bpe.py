@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, materialize
+from tessera.llm.common import arrow_map, make_room, materialize, remembered
 
 BUCKETS = 16384
 NONE = 2147483647
@@ -242,21 +242,26 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-#: Distinct parts and words that a task counts before it passes them on.
-COUNTED = 600_000
+#: Distinct parts and words that a task counts before it passes them on, and rows of a batch when it does.
+COUNTED, PASSED_ON = 300_000, 10_000
 
 
 def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
     """Distinct matches of the pattern with their counts; summed before the shuffle, so that no word is hot."""
 
     def count(batches):
+        make_room()
         find, seen, out = _pattern(pattern).findall, Counter(), Counter()
 
         def rows():
             for part, n in seen.items():
                 for w in matches(part, find):
                     out[w] += n
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(out), pa.string()), "n": pa.array(list(out.values()), pa.int64())})
+            whole = pa.RecordBatch.from_pydict({"word": pa.array(list(out), pa.string()), "n": pa.array(list(out.values()), pa.int64())})
+            seen.clear()
+            out.clear()
+            for k in range(0, whole.num_rows, PASSED_ON):  # Spark holds a batch whole
+                yield whole.slice(k, PASSED_ON)
 
         for b in batches:
             for texts in slices(b.column(0)):
@@ -267,10 +272,8 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
                 for i in np.flatnonzero(~even):
                     out.update(find(texts[i].as_py()))
                 if len(seen) + len(out) > COUNTED:
-                    yield rows()
-                    seen.clear()
-                    out.clear()
-        yield rows()
+                    yield from rows()
+        yield from rows()
 
     return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -296,9 +299,9 @@ def _pattern(p: str):
 
 
 #: Each Python worker remembers so many parts of texts, and as many older ones.
-REMEMBERED = 400_000
+REMEMBERED = 30_000
 #: Bytes of text that a worker cuts at a time; a longer text is cut by itself.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 def slices(texts: pa.Array):
@@ -332,7 +335,7 @@ class Coder:
         rare = [w for w in new if w not in self.words]
         merged = dict(zip(rare, self.merge([w.encode() for w in rare]), strict=True))
         for w in new:
-            ids = merged[w] if w in merged else self.words[w]
+            ids = merged[w] if w in merged else array("i", self.words[w])
             made[w] = array("i", ids).tobytes(), b"".join([self.names[i] for i in ids]), decoded(ids, self.pieces)
         # most parts are one word
         return [made[part[0]] if len(part) == 1 else tuple(map(b"".join, zip(*[made[w] for w in part]))) or (b"", b"", b"") for part in found]
@@ -378,7 +381,7 @@ def coder(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, max_dic
     ``max_dictionary``, whatever the size of the corpus."""
     sc = docs.sparkSession.sparkContext
     frequent = encode_words(frequent_words(docs, pattern, max_dictionary, text_col), ranks_path).toArrow()
-    known = dict(zip(frequent["word"].to_pylist(), frequent["ids"].to_pylist(), strict=True))
+    known = dict(zip(frequent["word"].to_pylist(), [array("i", x).tobytes() for x in frequent["ids"].to_pylist()], strict=True))
     shared = sc.broadcast((known, load_ranks(ranks_path), pieces_of(ranks_path)))
     key = uuid.uuid4().hex
 
@@ -392,6 +395,7 @@ def coder(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, max_dic
 
 
 _made: dict[str, Coder] = {}
+remembered.append(_made)
 
 
 def mapped(docs: DataFrame, get, id_col: str, text_col: str, made, schema: str) -> DataFrame:
@@ -403,6 +407,7 @@ def mapped(docs: DataFrame, get, id_col: str, text_col: str, made, schema: str)
     out = to_arrow_schema(fields)
 
     def run(batches):
+        make_room(_made)
         for b in batches:
             at = 0
             for texts in slices(b.column(1)):

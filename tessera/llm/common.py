@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,6 +28,19 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: What operators remember in a Python worker.  Workers are shared: it makes room when another operator begins there.
+remembered: list[dict] = []
+
+
+def make_room(but: dict | None = None) -> None:
+    for x in remembered:
+        if x is not but:
+            x.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory unless it is asked to give it back
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Columns(dict):
     """The columns of a batch as lists, made when they are first asked for; lists of numbers as NumPy arrays."""
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map
+from tessera.llm.common import arrow_map, make_room, remembered
 
 MAGIC = b"TSWM0002"
 #: Bytes of a plane that are compressed together.
@@ -263,6 +263,7 @@ class Tokenizer:
 
 
 _made: dict[str, Tokenizer] = {}
+remembered.append(_made)
 
 
 def slices(batch: pa.RecordBatch):
@@ -295,6 +296,7 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
             seq, names, sizes, held, total = seq + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
+        make_room(_made)
         if key not in _made:
             _made.clear()
             _made[key] = Tokenizer(tokenizer_path)
