@@ -6,8 +6,8 @@ outside the dictionary go through the same merges in the task that has them, as
 (figures in the README).  Decoding concatenates the binary pieces of the ids.
 
 Defined results: a null or empty text gives no ids and decodes to nothing; repeated rows give repeated results; columns
-other than the id and the text are ignored; an empty table gives an empty table; a text of one very long word costs time
-with the square of that word's length, as its merges do, and nothing is cut.
+other than the id and the text are ignored; an empty table gives an empty table; a text of one very long word costs time with the square of that word's length,
+as its merges do, and nothing is cut.
 """
 
 from __future__ import annotations
@@ -16,18 +16,15 @@ import base64
 import hashlib
 import json
 import uuid
-from array import array
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, make_room, materialize, remembered
+from tessera.llm.common import arrow_map, materialize
 
 BUCKETS = 16384
 NONE = 2147483647
@@ -120,111 +117,19 @@ def encode_words(words: DataFrame, ranks_path: str, word_col: str = "word") -> D
 #: Fixed value: the pattern for which a space or line end between two other characters always starts a match of its own.
 #: Texts are cut there for this pattern; they go whole through any other one.
 CUT_AT_SPACES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: White space that isn't a single space or line end between two other characters (or that some library takes for white space).
-UNEVEN = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Stands before the first part of a text, which has no space before it; no other part has one.
-FIRST = "\r"
-
-
-def cut(texts: pa.Array, pattern: str) -> tuple[np.ndarray, pa.Array]:
-    """Which texts are cut, and lists of parts: the pattern splits each part as it splits the text.
-
-    A part has a line end or, left out, a space before it; the first has FIRST.  A text that isn't cut has no parts."""
-    even = np.zeros(len(texts), bool)
-    if pattern == CUT_AT_SPACES:
-        # an empty text has nothing to cut
-        even = ~pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False) & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
-    marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), "")
-    lists = pc.split_pattern(pc.if_else(pa.array(even), marked, pa.scalar(None, pa.string())), " ")
-    return even, lists
-
-
-def part_text(part: str) -> str:
-    return part[1:] if part[:1] == FIRST else part if part[:1] == "\n" else " " + part
-
-
-def matches(part: str, find) -> list[str]:
-    """Matches of the pattern in a part of a text."""
-    if part.isalpha():
-        return [" " + part]  # a space and letters are one match of CUT_AT_SPACES
-    return find(part_text(part))
-
-
-#: Words of more bytes are merged one by one.
-LONGEST = 48
-
-
-class Merges:
-    """The same merges for many words at once, over arrays of ids: words of one length are the rows of a table, and each step
-    merges the pair of the lowest rank in every row that still has one."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.start = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {ranks[p[:k]] << 32 | ranks[p[k:]]: i for p, i in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks}
-        # a table with open addresses, a quarter full at most
-        self.bits = max(4, (4 * len(pairs)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int64)
-        keys, values = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-        at = self._place(keys)
-        while len(keys):
-            free = self.keys[at] < 0
-            self.keys[at[free]] = keys[free]  # of several for one place the last one stays
-            held = self.keys[at] == keys
-            self.values[at[held]] = values[held]
-            keys, values, at = keys[~held], values[~held], (at[~held] + 1) & ((1 << self.bits) - 1)
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
-
-    def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ids of merged pairs, or NONE."""
-        keys = a << 32 | b
-        at = self._place(keys)
-        found = self.keys[at]
-        out = np.where(found == keys, self.values[at], NONE)
-        left = np.flatnonzero((found != keys) & (found >= 0))
-        while len(left):
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[at[left]]
-            hit = found == keys[left]
-            out[left[hit]] = self.values[at[left[hit]]]
-            left = left[~hit & (found >= 0)]
-        return out
-
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(size).tolist():
-            rows = np.flatnonzero(size == n)
-            if n > LONGEST:
-                for i in rows.tolist():
-                    out[i] = merge_bytes(words[i], self.ranks)
-            elif n:
-                self._merge(rows, self.start[np.frombuffer(b"".join([words[i] for i in rows.tolist()]), np.uint8).reshape(-1, n)], out)
-        return out
-
-    def _merge(self, rows: np.ndarray, ids: np.ndarray, out: list[list[int]]) -> None:
-        near = self.look(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1) if ids.shape[1] > 1 else np.full((len(ids), 1), NONE)
-        while len(rows):
-            low = near.min(axis=1)
-            done = low == NONE
-            for i, x in zip(rows[done].tolist(), ids[done].tolist(), strict=True):
-                out[i] = x
-            rows, ids, near, low = rows[~done], ids[~done], near[~done], low[~done]
-            if not len(rows):
-                return
-            at, all_, width = near.argmin(axis=1), np.arange(len(rows)), ids.shape[1]
-            ids = np.where(np.arange(width - 1) <= at[:, None], ids[:, :-1], ids[:, 1:])
-            ids[all_, at] = low
-            near = np.where(np.arange(width - 2) < at[:, None], near[:, :-1], near[:, 1:])
-            if width == 2:
-                near = np.full((len(rows), 1), NONE)
-                continue
-            k = np.flatnonzero(at > 0)
-            near[k, at[k] - 1] = self.look(ids[k, at[k] - 1], low[k])
-            k = np.flatnonzero(at < width - 2)
-            near[k, at[k]] = self.look(low[k], ids[k, at[k] + 1])
+
+
+def units(text: str, pattern: str = CUT_AT_SPACES) -> list[str] | None:
+    """Parts that the pattern splits as it splits the text, or None if there is white space other than single spaces and
+    line ends between words.  A space or line end between two other characters always starts a match of its own.  The
+    first part stands as it is; the others have a line end or, left out, a space before them."""
+    if pattern != CUT_AT_SPACES or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        return None
+    return text.replace("\n", " \n").split(" ")
+
+
+def unit_text(unit: str) -> str:
+    return unit if unit[:1] == "\n" else " " + unit
 
 
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -242,40 +147,23 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-#: Distinct parts and words that a task counts before it passes them on, and rows of a batch when it does.
-COUNTED, PASSED_ON = 300_000, 10_000
-
-
 def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
     """Distinct matches of the pattern with their counts; summed before the shuffle, so that no word is hot."""
 
-    def count(batches):
-        make_room()
+    def count(cols):
         find, seen, out = _pattern(pattern).findall, Counter(), Counter()
+        for text in cols[text_col]:
+            if parts := units(text or "", pattern):
+                out.update(find(parts[0]))
+                seen.update(parts[1:])
+            elif text:
+                out.update(find(text))
+        for unit, n in seen.items():
+            for w in find(unit_text(unit)):
+                out[w] += n
+        return {"word": list(out), "n": list(out.values())}
 
-        def rows():
-            for part, n in seen.items():
-                for w in matches(part, find):
-                    out[w] += n
-            whole = pa.RecordBatch.from_pydict({"word": pa.array(list(out), pa.string()), "n": pa.array(list(out.values()), pa.int64())})
-            seen.clear()
-            out.clear()
-            for k in range(0, whole.num_rows, PASSED_ON):  # Spark holds a batch whole
-                yield whole.slice(k, PASSED_ON)
-
-        for b in batches:
-            for texts in slices(b.column(0)):
-                even, lists = cut(texts, pattern)
-                parts = pc.value_counts(lists.flatten())
-                for part, n in zip(parts.field(0).to_numpy(zero_copy_only=False).tolist(), parts.field(1).to_numpy().tolist(), strict=True):
-                    seen[part] += n
-                for i in np.flatnonzero(~even):
-                    out.update(find(texts[i].as_py()))
-                if len(seen) + len(out) > COUNTED:
-                    yield from rows()
-        yield from rows()
-
-    return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select(text_col), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, pattern: str, limit: int, text_col: str = "text") -> DataFrame:
@@ -298,133 +186,86 @@ def _pattern(p: str):
     return regex.compile(p)
 
 
-#: Each Python worker remembers so many parts of texts, and as many older ones.
-REMEMBERED = 30_000
-#: Bytes of text that a worker cuts at a time; a longer text is cut by itself.
-BATCH = 2 << 20
-
-
-def slices(texts: pa.Array):
-    """Parts of an array of texts (null: empty) with about BATCH bytes each, and a text at least."""
-    texts = texts.fill_null("")
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH, "right")))
-        yield texts.slice(at, end - at)
-        at = end
-
-
-class Coder:
-    """Encodes texts part by part; what it hasn't seen, it makes.  A part is remembered as its ids (bytes of little-endian
-    32-bit integers), their decimal names with a comma after each, and the bytes that they decode to."""
-
-    def __init__(self, pattern: str, words: dict[str, bytes], ranks: dict[bytes, int], pieces: list[bytes]):
-        self.pattern, self.find, self.words, self.pieces = pattern, _pattern(pattern).findall, words, pieces
-        self.merge, self.made = Merges(ranks), {}
-        self.names = [b"%d," % i for i in range(len(pieces))]
-        self.young: dict[str, tuple[bytes, bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes, bytes]] = {}
-
-    def coded(self, found: list[list[str]]) -> list[tuple[bytes, bytes, bytes]]:
-        """Ids, names and bytes for the matches of each part; words that aren't known yet are merged together."""
-        made = self.made
-        if len(made) > REMEMBERED:
-            made.clear()
-        new = list({w for part in found for w in part if w not in made})
-        rare = [w for w in new if w not in self.words]
-        merged = dict(zip(rare, self.merge([w.encode() for w in rare]), strict=True))
-        for w in new:
-            ids = merged[w] if w in merged else array("i", self.words[w])
-            made[w] = array("i", ids).tobytes(), b"".join([self.names[i] for i in ids]), decoded(ids, self.pieces)
-        # most parts are one word
-        return [made[part[0]] if len(part) == 1 else tuple(map(b"".join, zip(*[made[w] for w in part]))) or (b"", b"", b"") for part in found]
-
-    def parts(self, parts: list[str]) -> list[tuple[bytes, bytes, bytes]]:
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        old, young = self.old.get, self.young
-        out = [young.get(p) or old(p) for p in parts]
-        new = [p for p, x in zip(parts, out, strict=True) if x is None]
-        fresh = dict(zip(new, self.coded([matches(p, self.find) for p in new]), strict=True))
-        out = [x or fresh[p] for p, x in zip(parts, out, strict=True)]
-        young.update(zip(parts, out, strict=True))
-        return out
-
-    def encode(self, texts: pa.Array, kinds: tuple[int, ...] = (0, 1, 2)) -> list[list[memoryview]]:
-        """For each kind (0: ids, 1: names, 2: decoded) what each text has; ``texts`` has no nulls."""
-        even, lists = cut(texts, self.pattern)
-        coded = lists.flatten().dictionary_encode()
-        known = self.parts(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        at = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-        uneven = np.flatnonzero(~even).tolist()
-        whole = dict(zip(uneven, self.coded([self.find(texts[i].as_py()) for i in uneven]), strict=True))
-        out = []
-        for kind in kinds:
-            put = pa.array([x[kind] for x in known], pa.large_binary()).take(coded.indices)
-            _, offsets, data = put.buffers()
-            ends = (np.frombuffer(offsets, np.int64, len(put) + 1) if len(put) else np.zeros(1, np.int64))[at].tolist()
-            data = memoryview(data or b"")
-            out.append([memoryview(whole[i][kind]) if i in whole else data[a:b] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))])
-        return out
-
-
-def decoded(ids: list[int], pieces: list[bytes]) -> bytes:
-    """The pieces of the ids, put together."""
-    return b"".join(map(pieces.__getitem__, ids))
+#: Each Python worker remembers the ids of so many parts of texts; then it starts anew.
+REMEMBERED = 600_000
+
+
+class Encoder(dict):
+    """Ids, as bytes of little-endian 32-bit integers, of parts of texts; what it hasn't seen, it makes."""
+
+    def __init__(self, pattern: str, words: dict[str, bytes], ranks: dict[bytes, int]):
+        self.pattern, self.find, self.words, self.ranks = pattern, _pattern(pattern).findall, words, ranks
+
+    def pieces(self, text: str) -> bytes:
+        words, ranks = self.words, self.ranks
+        return b"".join(words[w] if w in words else np.array(merge_bytes(w.encode(), ranks), "<i4").tobytes() for w in self.find(text))
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        x = self[unit] = self.pieces(unit_text(unit))
+        return x
+
+    def encode(self, text: str | None) -> np.ndarray:
+        parts = units(text or "", self.pattern)
+        if parts is None:
+            return np.frombuffer(self.pieces(text or ""), "<i4")
+        return np.frombuffer(self.pieces(parts[0]) + b"".join(map(self.__getitem__, parts[1:])), "<i4")
+
+
+class Decoder:
+    """Bytes and decimal names of ids, by look-up in flat tables."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.size = np.array([len(p) for p in pieces] or [0], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(pieces) or b"\0", np.uint8)
+        width = len(str(len(pieces))) + 1
+        self.names = np.frombuffer(b"".join(f"{i},".encode().ljust(width, b"\0") for i in range(max(1, len(pieces)))), np.uint8).reshape(-1, width)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        at = np.repeat(self.start[ids] - (np.cumsum(size) - size), size)
+        return self.flat[at + np.arange(len(at))].tobytes()
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        named = self.names[ids].reshape(-1)
+        return named[named != 0].tobytes()[:-1]
 
 
 def coder(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, max_dictionary: int):
-    """A function for tasks that gives the worker's :class:`Coder`.
+    """A function for tasks that gives the worker's :class:`Encoder` and :class:`Decoder`.
 
     The driver holds the ranks and the dictionary of frequent words; both are bounded by the vocabulary and by
     ``max_dictionary``, whatever the size of the corpus."""
     sc = docs.sparkSession.sparkContext
     frequent = encode_words(frequent_words(docs, pattern, max_dictionary, text_col), ranks_path).toArrow()
-    known = dict(zip(frequent["word"].to_pylist(), [array("i", x).tobytes() for x in frequent["ids"].to_pylist()], strict=True))
+    known = dict(zip(frequent["word"].to_pylist(), [np.array(x, "<i4").tobytes() for x in frequent["ids"].to_pylist()], strict=True))
     shared = sc.broadcast((known, load_ranks(ranks_path), pieces_of(ranks_path)))
     key = uuid.uuid4().hex
 
-    def get() -> Coder:
+    def get() -> tuple[Encoder, Decoder]:
         if key not in _made:
             _made.clear()
-            _made[key] = Coder(pattern, *shared.value)
+            known, ranks, pieces = shared.value
+            _made[key] = Encoder(pattern, known, ranks), Decoder(pieces)
         return _made[key]
 
     return get
 
 
-_made: dict[str, Coder] = {}
-remembered.append(_made)
-
-
-def mapped(docs: DataFrame, get, id_col: str, text_col: str, made, schema: str) -> DataFrame:
-    """The id of each row with the columns that ``made(coder, texts)`` gives for its text."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    fields = _parse_datatype_string(schema)
-    out = to_arrow_schema(fields)
-
-    def run(batches):
-        make_room(_made)
-        for b in batches:
-            at = 0
-            for texts in slices(b.column(1)):
-                columns = [b.column(0).slice(at, len(texts)), *(pa.array(c, f.type) for c, f in zip(made(get(), texts), out, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([b.schema.field(0), *out]))
-                at += len(texts)
-
-    return docs.select(id_col, text_col).mapInArrow(run, StructType([docs.schema[id_col], *fields]))
+_made: dict[str, tuple[Encoder, Decoder]] = {}
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_dictionary: int = 200_000) -> DataFrame:
     """``(id_col, ids array<int>)`` for each row: every match of ``pattern`` is encoded by itself, without special tokens."""
+    get = coder(docs, ranks_path, pattern, text_col, max_dictionary)
 
-    def made(coder: Coder, texts: pa.Array):
-        return [[np.frombuffer(x, "<i4") for x in coder.encode(texts, (0,))[0]]]
+    def run(cols):
+        encoder, _ = get()
+        return {id_col: cols[id_col], "ids": [encoder.encode(t) for t in cols[text_col]]}
 
-    return mapped(docs, coder(docs, ranks_path, pattern, text_col, max_dictionary), id_col, text_col, made, "ids array<int>")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids array<int>")
 
 
 def pieces_of(ranks_path: str) -> list[bytes]:
@@ -437,22 +278,29 @@ def pieces_of(ranks_path: str) -> list[bytes]:
 
 
 def decode(coded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
-    """Adds ``decoded`` (binary), the pieces of ``ids`` put together, to a table of ids (null: none)."""
+    """Adds ``decoded`` (binary), the pieces of ``ids`` put together, to a table of ids."""
     shared = coded.sparkSession.sparkContext.broadcast(pieces_of(ranks_path))
 
     def run(cols):
-        pieces = shared.value
-        return {"decoded": [decoded([] if x is None else x, pieces) for x in cols["ids"]]}
+        decoder = Decoder(shared.value)
+        return {id_col: cols[id_col], "ids": cols["ids"], "decoded": [decoder.decode(x) for x in cols["ids"]]}
 
-    return arrow_map(coded.select(id_col, "ids"), run, "decoded binary", (id_col, "ids"))
+    return arrow_map(coded.select(id_col, "ids"), run, f"`{id_col}` {dict(coded.dtypes)[id_col]}, ids array<int>, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_dictionary: int = 200_000) -> DataFrame:
     """``(id_col, n_tokens, ids_sha256, decoded_sha256)``: each text encoded and its ids decoded in one pass, which spares
     sending the ids between processes."""
+    get = coder(docs, ranks_path, pattern, text_col, max_dictionary)
 
-    def made(coder: Coder, texts: pa.Array):
-        ids, names, back = coder.encode(texts)
-        return [[len(x) // 4 for x in ids], [hashlib.sha256(x[:-1]).hexdigest() for x in names], [hashlib.sha256(x).hexdigest() for x in back]]
-
-    return mapped(docs, coder(docs, ranks_path, pattern, text_col, max_dictionary), id_col, text_col, made, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(cols):
+        encoder, decoder = get()
+        ids = [encoder.encode(t) for t in cols[text_col]]
+        return {
+            id_col: cols[id_col],
+            "n_tokens": [len(x) for x in ids],
+            "ids_sha256": [hashlib.sha256(decoder.decimal(x)).hexdigest() for x in ids],
+            "decoded_sha256": [hashlib.sha256(decoder.decode(x)).hexdigest() for x in ids],
+        }
+
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -44,28 +44,6 @@ def test_batches_of_words_are_cut_anywhere(monkeypatch):
         assert got == [tok.library.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
 
 
-def test_merges_of_many_words_are_those_of_each():
-    import random
-
-    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    rng = random.Random(8)
-    words = [b"", b"a", *("".join(rng.choices("aabeinrst\u00e9 \u4e2d1!", k=rng.randint(1, 60))).encode() for _ in range(3000)), b"a" * 500]
-    assert bpe.Merges(ranks)(words) == [bpe.merge_bytes(w, ranks) for w in words]
-
-
-def test_parts_split_as_texts_do():
-    import pyarrow as pa
-    import regex
-
-    find = regex.compile(P.PATTERN).findall
-    texts = ["a b", "it's 'tis\nx  y", "a\nb c", " a", "a ", "a\n", "\na", "x\u3000y", "x\x1cy", "x\u200by z", "don't, WE'LL (12) a1 ab\u0301c \U0001f642 q", "\r", "", "one"]
-    even, lists = bpe.cut(pa.array(texts), P.PATTERN)
-    assert sum(even) == 5 or any(even)
-    for t, e, parts in zip(texts, even, lists.to_pylist(), strict=True):
-        assert not e or [w for p in parts for w in bpe.matches(p, find)] == find(t)
-    assert not bpe.cut(pa.array(texts), r"\\S+|\\s+")[0].any()
-
-
 def test_any_other_pattern_takes_texts_whole(spark):
     import tiktoken
 
