@@ -80,6 +80,24 @@ def arrow_map(df: DataFrame, fn: Callable[[Columns], dict[str, list]], schema: s
     return df.mapInArrow(run, StructType([*(df.schema[n] for n in keep), *made]))
 
 
+def arrow_stream(df: DataFrame, fn: Callable[[Iterator[Columns]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+    """Applies ``fn`` to the batches of a partition as they come, for groups of rows that go on from one batch to the next.
+
+    ``fn`` takes :class:`Columns` of at most ``ROWS`` rows in the partition's order and yields dicts of columns."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    made = _parse_datatype_string(schema)
+    out = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (Columns(b.slice(k, ROWS)) for b in batches for k in range(0, b.num_rows, ROWS))
+        for cols in fn(pieces):
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
+
+    return df.mapInArrow(run, made)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing, ogg, quality, secrets, simhash, urlfilter, wavelet, wrapper
+from tessera.llm import bpe, langid, mixing, ogg, quality, repair, secrets, simhash, tokencount, urlfilter, wavelet, wrapper
 from tessera.llm.common import shared_dir, table
 
 
@@ -66,6 +66,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damage(table(spark, sf_dir, "conversations")), gone="gone")
+
+
+def op12_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_wavelet": op2_wavelet,
@@ -77,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_urls": op9_urls,
     "op10_simhash": op10_simhash,
+    "op11_repair": op11_repair,
+    "op12_tokencount": op12_tokencount,
 }
 
 SQL: dict[str, str] = {
