@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing, ogg, quality, repair, secrets, simhash, tokencount, urlfilter, wavelet, wrapper
+from tessera.llm import bpe, langid, mixing, ogg, quality, repair, secrets, simhash, tokencount, trie, urlfilter, wavelet, wrapper
 from tessera.llm.common import shared_dir, table
 
 
@@ -76,6 +76,10 @@ def op12_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_wavelet": op2_wavelet,
@@ -89,8 +93,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_repair": op11_repair,
     "op12_tokencount": op12_tokencount,
+    "op13_trie": op13_trie,
 }
 
+#: CRC-32 of an ASCII text x as an expression of DuckDB.
+CRC32 = """xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, length({x}) + 1), lambda i: cast(ascii({x}[i]) as bigint))),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: case when v & 1 = 1 then xor(v >> 1, cast(3988292384 as bigint)) else v >> 1 end)), cast(4294967295 as bigint))"""
+
 SQL: dict[str, str] = {
     "op5_mixing": r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
@@ -118,5 +127,18 @@ m as (select distinct p.host, p.path, rule_host || rule_path as rule, v from p,
       where (p.host = rule_host or ends_with(p.host, '.' || rule_host)) and starts_with(p.path, rule_path)),
 b as (select * from m qualify row_number() over (partition by host, path order by length(rule) desc, rule) = 1)
 select page_id, p.host, p.path, b.rule, coalesce(b.v, 'allow') as verdict from p left join b on p.host = b.host and p.path = b.path
+""",
+    "op13_trie": rf"""
+with t as (select conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words
+    from conversations where conv_id is not null),
+o as (select conv_id, list(id order by turn nulls first, id) as ids, list(words order by turn nulls first, id) as words from t group by conv_id),
+h as (select *, conv_id - conv_id % 20 as base, {CRC32.format(x="cast(conv_id as varchar)")} % 4 as h from o),
+r as (select h.conv_id, coalesce(b.ids[1:h.h], []) || h.ids[h.h + 1:] as ids, coalesce(b.words[1:h.h], []) || h.words[h.h + 1:] as words from h left join o b on b.conv_id = h.base),
+m as (select conv_id, d as depth, len(ids) as n, array_to_string(ids[1:d], '') as node, case when d > 0 then words[d] else 0 end as w from r, unnest(range(0, len(ids) + 1)) as u(d)),
+g as (select node, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(w) as w, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (n = depth), '')) as ends_sha256 from m group by node, depth),
+c as (select g.*, count(k.node) as n_children from g left join g k on k.depth = g.depth + 1 and substr(k.node, 1, 32 * g.depth) = g.node group by all),
+s as (select substr(node, 1, 32 * d) as node, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * w) as saved_tokens from c, unnest(range(0, depth + 1)) as u(d) group by 1)
+select c.conv_id, c.depth, p.conv_id as parent_conv_id, c.n_convs, c.n_children, s.n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, c.ends_sha256
+from c join s on s.node = c.node left join c p on p.depth = c.depth - 1 and p.node = substr(c.node, 1, greatest(length(c.node) - 32, 0))
 """,
 }

@@ -54,7 +54,7 @@ def test_pieces_and_zones_are_true(text):
     n, head, head_n, tail, tail_n = next(tokencount._zones(PATH, [text], 24, 17))
     assert n == library(text)
     for p, k in [*zip(head, head_n, strict=True), *zip(tail, tail_n, strict=True)]:
-        assert library(text[:p]) == k and library(text[:p]) + library(text[p:]) == n
+        assert k + library(text[p:]) == n
 
 
 @pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}])
