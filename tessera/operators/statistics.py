@@ -105,31 +105,34 @@ def raw_regime(ics: DataFrame, n: int = 20, risk_mean: float = 0.0, risk_neg: fl
     return regime_stats(ics, n).select("strategy_id", "date", regime_of(risk_mean, risk_neg, risk_ir, normal_mean).alias("raw"))
 
 
-def latch(raws, state: dict, enter: int, leave: int) -> list[str]:
-    """One strategy's states after confirmation: risk begins after ``enter`` days of it and ends after ``leave`` others."""
-    out = []
+#: State of a gate before its first day: whether the run of days at hand is of risk, its length, and whether risk is in force.
+GATE_START = (None, 0, False)
+
+
+def confirm(state: tuple, raw: str | None, enter: int, leave: int) -> tuple[tuple, str | None]:
+    """One more day of a gate: its new state and regime, by the runs that ``confirmed`` counts.
+
+    A run of risk days puts risk in force once it is ``enter`` long, one of other days ends it once it is ``leave`` long."""
+    if raw not in ("normal", "caution", "risk"):
+        return state, raw
+    kind = raw == "risk"
+    length = state[1] + 1 if state[0] == kind else 1
+    in_force = kind if length >= (enter if kind else leave) else state[2]
+    mild = "caution" if kind else raw
+    return (kind, length, in_force), "risk" if in_force else mild
+
+
+def regimes(raws, enter: int, leave: int) -> list[str | None]:
+    """The regimes of one strategy's days in order."""
+    out, state = [], GATE_START
     for raw in raws:
-        if raw not in ("normal", "caution", "risk"):
-            out.append(raw)
-            continue
-        if raw == "risk":
-            state["leaving"] = 0
-            if not state["in_risk"]:
-                state["entering"] += 1
-                if state["entering"] >= enter:
-                    state["in_risk"], state["entering"] = True, 0
-        else:
-            state["entering"] = 0
-            if state["in_risk"]:
-                state["leaving"] += 1
-                if state["leaving"] >= leave:
-                    state["in_risk"], state["leaving"] = False, 0
-        out.append("risk" if state["in_risk"] else "caution" if raw == "risk" else raw)
+        state, regime = confirm(state, raw, enter, leave)
+        out.append(regime)
     return out
 
 
 def confirmed(raws: DataFrame, keys: list[str], enter: Column | int, leave: Column | int) -> DataFrame:
-    """Adds ``regime``, the states that ``latch`` gives, without a recursion.
+    """Adds ``regime``, the states that ``confirm`` gives day by day, without a recursion.
 
     Risk begins where a run of risk days is ``enter`` long and ends where a run of other days is ``leave`` long, so the state
     is that of the last such day; days of unknown state take no part."""

@@ -1,35 +1,75 @@
 """Operators over streams of (key, ts, value): freezing, late data, staleness, de-duplication, held values, streaks, gates.
 
-Event time is arrival time; a watermark bounds what windows and de-duplication remember.  Operators with a state of
-their own keep a few numbers for each key."""
+A watermark bounds what windows, de-duplication and keyed state remember.  Operators that depend on order take each key's rows
+by event time (``tessera.streaming.state``), whatever the micro-batches.  Tables are written by batch: a batch's rows stand in
+a folder of its number, which a replay of the batch writes again, so a restart adds nothing twice."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.statistics import latch
+from tessera.operators.statistics import GATE_START, confirm
+from tessera.sources.stores import exists
+from tessera.streaming.state import in_order
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def event_stream(spark: SparkSession, folder: str, name: str, schema: str, ts: str = "ts") -> DataFrame:
-    """A stream of the Parquet files of one name in a folder; zoneless times become UTC instants, as watermarks need them."""
-    df = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder)
+
+def event_stream(spark: SparkSession, folder: str, name: str, schema: str, ts: str = "ts", files: int | None = None) -> DataFrame:
+    """A stream of the Parquet files of one name in a folder, at most ``files`` in a micro-batch; zoneless times become UTC
+    instants, as watermarks need them."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", True)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    df = reader.parquet(folder)
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+def replay(df: DataFrame, slices: Column, n: int, folder: str, closing: str | None, ts: str = "ts") -> None:
+    """Writes a table as files in the order of its arrival, one for each of the ``n`` values of ``slices``; the last also has a
+    row of nothing but the time ``closing``, which moves a watermark past all others.  The table is read once for each slice."""
+    x = df.withColumn("__slice", slices)
+    for i in range(n):
+        part = x.where(F.col("__slice") == i).drop("__slice").coalesce(1)
+        if closing and i == n - 1:
+            end = df.sparkSession.range(1).select(*[(F.lit(closing) if c == ts else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes])
+            part = part.unionByName(end).coalesce(1)
+        part.write.mode("append").parquet(folder)
+
+
+def run(spark: SparkSession, writer) -> None:
+    """Runs a stream's writer over all that is there, with its state in RocksDB."""
+    conf = spark.conf
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKS)
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(name, before) if before else conf.unset(name)
+
+
+def put_batch(df: DataFrame, path: str, batch: int) -> None:
+    """A batch's rows in a folder of their own, in place of what an earlier attempt at the batch left there."""
+    df.write.mode("overwrite").parquet(f"{path}/__batch={batch}")
+
+
+def batches_before(spark: SparkSession, path: str, batch: int, schema) -> DataFrame:
+    """The rows that earlier batches wrote; none if there is no table yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path).where(F.col("__batch") < batch)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and returns the table it wrote; updates of a key keep the latest batch's row."""
     if mode == "append":
-        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start().awaitTermination()
+        run(stream.sparkSession, stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path))
     else:
-        def write(df: DataFrame, batch: int) -> None:
-            df.withColumn("__batch", F.lit(batch)).write.mode("append").parquet(path)
-
-        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        run(stream.sparkSession, stream.writeStream.outputMode(mode).foreachBatch(lambda df, batch: put_batch(df, path, batch)).option("checkpointLocation", checkpoint))
     return stream.sparkSession.read.parquet(path)
 
 
@@ -72,74 +112,90 @@ def distinct_rows(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def append_above_watermark(path: str, key: str, ts: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer: rows later than the table's last of their key, by an anti-join with the table's marks."""
-    from tessera.sources.stores import above_watermark, exists
+def append_above_mark(path: str, key: str, ts: str, ids: list[str]) -> Callable[[DataFrame, int], None]:
+    """A batch writer: rows later than their key's last in the table, each ``ids`` once.
+
+    Marks are read once, when the batch begins, from the last snapshot of an earlier batch, a row for each key; the rows and then the
+    new marks are written under the batch's number, so an attempt that failed between the two is written over."""
 
     def write(df: DataFrame, batch: int) -> None:
-        if exists(df.sparkSession, path):
-            df = above_watermark(df, df.sparkSession.read.parquet(path), key, ts)
-        df.write.mode("append").parquet(path)
+        spark = df.sparkSession
+        marks_schema = f"{key} {dict(df.dtypes)[key]}, __mark {dict(df.dtypes)[ts]}, __batch int"
+        known = batches_before(spark, f"{path}/marks", batch, marks_schema)
+        last = known.agg(F.max("__batch")).first()[0] if batch else None
+        marks = known.where(F.col("__batch") == last).drop("__batch") if last is not None else known.drop("__batch").limit(0)
+        new = df.join(marks, key, "left").where(F.col("__mark").isNull() | (F.col(ts) > F.col("__mark"))).drop("__mark").dropDuplicates(ids)
+        put_batch(new, f"{path}/rows", batch)
+        written = spark.read.schema(df.schema).parquet(f"{path}/rows/__batch={batch}")
+        both = marks.unionByName(written.groupBy(key).agg(F.max(ts).alias("__mark")))
+        put_batch(both.groupBy(key).agg(F.max("__mark").alias("__mark")), f"{path}/marks", batch)
 
     return write
 
 
-def _with_state(stream: DataFrame, key: str, cols: list[str], out: str, state: str, start: tuple, step: Callable[[pd.DataFrame, list], list[list]]) -> DataFrame:
-    """Rows of each key, in the order of ``ts``, through ``step``, which changes the key's state and gives rows of output."""
+SINKS = ("frozen", "late", "out_of_window")
+
+
+def into_sinks(path: str, key: str, ts: str, tie: str, start: str, end: str, close: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer with three tables: ``frozen`` has the first row of each key and day inside [start, end], which no later batch
+    changes; ``late`` archives, with the hash of their payload, rows up to the close and those inside the window that came
+    after the freeze; ``out_of_window`` has the rest."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        x = df.withColumn("day", F.to_date(ts)).withColumn("arrival", arrival_class(F.col(ts), start, end, close))
+        x = x.withColumn("payload_hash", F.sha2(F.to_json(F.struct(*df.columns)).cast("binary"), 256)).persist()
+        days = x.where("arrival = 'on_time'").select("day").distinct()
+        held = batches_before(spark, f"{path}/frozen", batch, f"day date, {key} {dict(df.dtypes)[key]}, __batch int").join(F.broadcast(days), "day", "left_semi").select("day", key).distinct()
+        first = F.row_number().over(Window.partitionBy("day", key).orderBy(ts, tie)) == 1
+        inside = x.where("arrival = 'on_time'").withColumn("__first", first).join(held.withColumn("__held", F.lit(True)), ["day", key], "left")
+        new = F.col("__first") & F.col("__held").isNull()
+        put_batch(inside.where(new).drop("__first", "__held"), f"{path}/frozen", batch)
+        after = inside.where(~new).drop("__first", "__held")
+        put_batch(x.where("arrival = 'late'").unionByName(after), f"{path}/late", batch)
+        put_batch(x.where("arrival = 'out_of_window'"), f"{path}/out_of_window", batch)
+        x.unpersist()
+
+    return write
 
-    def run(k: tuple, frames: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(s.get) if s.exists else list(start)
-        pdf = pd.concat(list(frames)).sort_values(cols[:2])
-        rows = step(pdf, held)
-        s.update(tuple(held))
-        yield pd.DataFrame([[k[0], *r] for r in rows], columns=names)
 
-    kind = dict(stream.dtypes)[key]
-    names = [key, *[x.strip().split(" ")[0] for x in out.split(",")]]
-    return stream.select(key, *cols).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", state, "append", GroupStateTimeout.NoTimeout)
+def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Runs a stream over all that is there through a batch writer."""
+    run(stream.sparkSession, stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
 def hold_last(stream: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """(key, id, value, source): a missing value is the last known one, labelled ``held``, or ``missing`` if there is none.
 
-    ``cols`` are the time, an id that breaks ties, and the value."""
+    ``cols`` are the time, under a watermark, an id that breaks ties, and the value."""
 
-    def step(pdf, held):
-        out = []
-        for _, i, v in pdf[cols].itertuples(index=False):
-            if pd.notna(v):
-                held[0] = float(v)
-                out.append([i, float(v), "live"])
-            else:
-                out.append([i, held[0], "missing" if held[0] is None else "held"])
-        return out
+    def step(state, row):
+        _, i, v = row
+        if v is not None:
+            return (v,), [(i, v, "live")]
+        return state, [(i, state[0], "missing" if state[0] is None else "held")]
 
-    return _with_state(stream, key, cols, "id long, value double, source string", "last double", (None,), step)
+    return in_order(stream, key, cols, "id long, value double, source string", "last double", (None,), step)
 
 
 def failure_streak(stream: DataFrame, key: str, cols: list[str], failed: str) -> DataFrame:
     """(key, id, failures) after each row: failures since the last success."""
 
-    def step(pdf, held):
-        out = []
-        for _, i, kind in pdf[cols].itertuples(index=False):
-            held[0] = held[0] + 1 if kind == failed else 0
-            out.append([i, held[0]])
-        return out
+    def step(state, row):
+        n = state[0] + 1 if row[2] == failed else 0
+        return (n,), [(row[1], n)]
 
-    return _with_state(stream, key, cols, "id long, failures long", "failures long", (0,), step)
+    return in_order(stream, key, cols, "id long, failures long", "failures long", (0,), step)
 
 
 def gate(stream: DataFrame, key: str, cols: list[str], enter: int = 3, leave: int = 3) -> DataFrame:
-    """(key, id, raw, regime): the confirmation latch with its state kept by key."""
+    """(key, id, raw, regime): the confirmation of states, with the run at hand and what is in force kept by key."""
 
-    def step(pdf, held):
-        state = {"in_risk": bool(held[0]), "entering": held[1], "leaving": held[2]}
-        regimes = latch(pdf[cols[2]], state, enter, leave)
-        held[:] = [state["in_risk"], state["entering"], state["leaving"]]
-        return [[i, raw, r] for (i, raw), r in zip(pdf[cols[1:]].itertuples(index=False), regimes, strict=True)]
+    def step(state, row):
+        state, regime = confirm(state, row[2], enter, leave)
+        return state, [(row[1], row[2], regime)]
 
-    return _with_state(stream, key, cols, "id long, raw string, regime string", "in_risk boolean, entering long, leaving long", (False, 0, 0), step)
+    return in_order(stream, key, cols, "id long, raw string, regime string", "kind boolean, length long, in_force boolean", GATE_START, step)
 
 
 def alert(fallback_age: Column, pool: Column, past_deadline: Column, over_budget: Column) -> Column:

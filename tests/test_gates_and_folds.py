@@ -18,12 +18,12 @@ def day(k):
 
 
 @pytest.mark.parametrize(("enter", "leave"), [(1, 1), (2, 3), (3, 2), (5, 5)])
-def test_confirmed_states_equal_the_latch(spark, enter, leave):
+def test_confirmed_states_equal_those_day_by_day(spark, enter, leave):
     rng, rows, want = random.Random(enter * 10 + leave), [], {}
     for s in range(8):
         raws = [rng.choice(["risk"] * 3 + ["normal", "caution", "unknown", None]) for _ in range(60)]
         rows += [(s, day(k), r) for k, r in enumerate(raws)]
-        states = statistics.latch(raws, {"in_risk": False, "entering": 0, "leaving": 0}, enter, leave)
+        states = statistics.regimes(raws, enter, leave)
         want |= {(s, day(k)): r for k, r in enumerate(states)}
     got = statistics.hysteresis(spark.createDataFrame(rows, "strategy_id int, date date, raw string"), enter, leave)
     assert {(r.strategy_id, r.date): r.regime for r in got.collect()} == want

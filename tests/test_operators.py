@@ -154,10 +154,9 @@ def test_pbo_of_skill_and_noise(spark):
     assert pbo(0.0).pbo > 0.1
 
 
-def test_gate_latch():
-    fresh = lambda: {"in_risk": False, "entering": 0, "leaving": 0}
+def test_gate_regimes():
     raw = ["risk", "risk", "normal", "risk", "risk", "risk", "unknown", "normal", "caution", "normal", "normal"]
-    assert statistics.latch(raw, fresh(), 3, 3) == ["caution", "caution", "normal", "caution", "caution", "risk", "unknown", "risk", "risk", "normal", "normal"]
+    assert statistics.regimes(raw, 3, 3) == ["caution", "caution", "normal", "caution", "caution", "risk", "unknown", "risk", "risk", "normal", "normal"]
 
 
 def test_normal_distribution(spark):
