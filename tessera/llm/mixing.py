@@ -53,9 +53,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return t.select("source", "source_size", F.least(F.coalesce(F.col("final") * F.col("w"), F.lit(cap) * F.col("source_size")), F.lit(cap) * F.col("source_size")).alias("target"))
 
 
+MADE = ("__size", "__source", "__source_size", "__target", "__copies")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """All rows with ``size``, ``source_size``, ``target`` and ``copies``, the number of times the mix takes them."""
-    own = docs.select("*", size_of(F.col(text_col)).alias("__size"))
+    """All rows with ``__size``, ``__source_size``, ``__target`` and ``__copies``, the number of times the mix takes them; columns
+    of these names that the rows had are replaced."""
+    own = docs.drop(*MADE).select("*", size_of(F.col(text_col)).alias("__size"))
     sums = own.groupBy(F.col(source_col).alias("source")).agg(F.sum("__size").alias("source_size"))
     rates = materialize(targets(sums, weights, share, cap).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
     if rates.count() <= BROADCAST_ROWS:

@@ -257,7 +257,8 @@ class Tokenizer:
                 return array("I", [t.id for t in self.tokenize(w.lower().encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
         else:
             base = w.rstrip(MARKS)
-            if base and len(base) < len(w) and base.isalpha():
+            # not where lower-casing or composing leaves a mark at the base's end, which joins the marks that follow
+            if base and len(base) < len(w) and base.isalpha() and not UNEVEN.search(base) and unicodedata.is_normalized("NFC", base):
                 return self._word(base) + self._word(w[len(base) :])
         return array("I", self.library.encode(w, add_special_tokens=False).ids).tobytes()
 

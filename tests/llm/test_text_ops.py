@@ -88,6 +88,20 @@ def test_words_are_encoded_as_in_their_text():
         assert tok.encode(t).tolist() == tok.library.encode(t, add_special_tokens=False).ids
 
 
+def test_random_words_are_encoded_as_in_their_text():
+    tok, rng = wavelet.Tokenizer(P.path("word_bpe_49k.json")), random.Random(11)
+    parts = [*"abİΣσéÉ ...,,--!'1漢ﬁſK", "a\u0301", "İ-", "İ.", "\u0327", " ", "  ", "<|endoftext|>", "DON'T"]
+    for _ in range(30_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 7)))
+        assert tok.encode(t).tolist() == tok.library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_mix_replaces_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, None, None)], "doc_id long, text string, source string")
+    clash = docs.select("*", *[mixing.F.lit("x").alias(c) for c in mixing.MADE])
+    assert sorted(map(tuple, mixing.mix(clash).collect())) == sorted(map(tuple, mixing.mix(docs).collect()))
+
+
 def test_wavelet_shards(spark, sf_dir, tmp_path):
     from tokenizers import Tokenizer
 
