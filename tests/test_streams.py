@@ -89,7 +89,7 @@ def silences(rows, stale, stalled, end):
 
 @pytest.mark.parametrize("batches", [1, 12])
 def test_silent_keys_are_reported_by_timers(spark, tmp_path, batches):
-    rows = [r for r in events(200, seed=5) if not (r[2] == "b" and 40 < r[0] < 160)] + [(900, START, "gone", 1.0)]
+    rows = [r for r in events(200, seed=5) if not (r[2] == "b" and 40 < r[0] < 160)] + [(-1, START, "gone", 1.0)]
     folder, parts = str(tmp_path / "in"), cut(rows, batches)
     (tmp_path / "in").mkdir()
     s = ops.event_stream(spark, folder, "*.parquet", SCHEMA, files=1).withWatermark("ts", "6 hours")
