@@ -1,9 +1,10 @@
-"""Time-series operators over (symbol, date): windows by symbol, all days at once; the recursions go by symbol in pandas."""
+"""Time-series operators over (symbol, date): windows by symbol, all days at once; exponential means are scans over blocks of days."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,24 +133,68 @@ def adjusted_close(bars: DataFrame) -> DataFrame:
     return x.withColumn("adj_close", F.max_by("close", "date").over(whole) * F.exp(F.col("__logs") - F.max_by("__logs", "date").over(whole))).drop("__logs")
 
 
-def _technical(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("date")
-    c, h, lo = pdf["close"], pdf["high"], pdf["low"]
-    d = c.diff()
-    up, down = d.clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean(), (-d).clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean()
-    rsi = 100 - 100 / (1 + up / down.where(down != 0))
-    dif = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
-    dea = dif.ewm(span=9, adjust=False).mean()
-    tr = pd.concat([h - lo, (h - c.shift()).abs(), (lo - c.shift()).abs()], axis=1).max(axis=1)
-    return pdf.assign(rsi=rsi, dif=dif, dea=dea, macd=2 * (dif - dea), atr=tr.ewm(alpha=1 / 14, adjust=False).mean())
+#: Calendar days of a block; a symbol's rows are dealt out by (symbol, block), so a long history is many tasks' work.
+BLOCK_DAYS = 128
+
+
+def in_blocks(df: DataFrame, *last: str, key: str = "symbol", date: str = "date") -> DataFrame:
+    """Adds ``__b``, the row's block, ``__pos``, its place in it, ``__t``, its place in all of the key's rows (both from 0), and
+    ``__last_c``, the value of each column c of ``last`` in the row before.
+
+    Rows are sorted by block; what a block takes over from those before it comes from a row for each block."""
+    x = df.withColumn("__b", F.floor(F.datediff(F.col(date).cast("date"), F.lit("1970-01-01").cast("date")) / BLOCK_DAYS))
+    w = Window.partitionBy(key, "__b").orderBy(date)
+    x = x.withColumns({"__pos": F.row_number().over(w) - 1} | {f"__last_{c}": F.lag(c).over(w) for c in last})
+    blocks, by_key = x.groupBy(key, "__b").agg(F.count(F.lit(1)).alias("__n"), *[F.max_by(c, date).alias(f"__end_{c}") for c in last]), Window.partitionBy(key).orderBy("__b")
+    before = F.coalesce(F.sum("__n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(key, "__b", before.alias("__before"), *[F.lag(f"__end_{c}").over(by_key).alias(f"__end_{c}") for c in last])
+    x = x.join(blocks, [key, "__b"]).withColumns({"__t": F.col("__before") + F.col("__pos")} | {f"__last_{c}": F.when(F.col("__pos") == 0, F.col(f"__end_{c}")).otherwise(F.col(f"__last_{c}")) for c in last})
+    return x.drop("__before", *[f"__end_{c}" for c in last])
+
+
+def ewm(df: DataFrame, means: dict[str, tuple[Column, float, int]], key: str = "symbol", date: str = "date") -> DataFrame:
+    """Adds exponentially weighted means to rows that ``in_blocks`` has placed: ``name: (value, alpha, place of the first row)``.
+
+    The recursion y = (1 - alpha) y + alpha x is an affine map, and maps compose, so blocks are summed up each on its own, and the
+    ends of blocks are composed to what each block carries into the next.  Ends further back than ``reach`` rows weigh
+    less than a double's last digit of any mean, so a carry sums up a bounded number of blocks."""
+    w = Window.partitionBy(key, "__b").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda alpha, n: F.pow(F.lit(1 - alpha), n)
+    local = {}
+    for name, (value, alpha, first) in means.items():
+        term = F.when(F.col("__t") == first, value).when(F.col("__t") > first, alpha * value)
+        local[f"__l_{name}"] = power(alpha, F.col("__pos")) * F.sum(term / power(alpha, F.col("__pos"))).over(w)
+    x = df.withColumns(local)
+    ends = x.groupBy(key, "__b").agg(F.max("__t").alias("__end"), *[F.coalesce(F.max_by(c, date), F.lit(0.0)).alias(c) for c in local])
+    reach = math.ceil(max(-45 / math.log1p(-alpha) for _, alpha, _ in means.values()))
+    near = F.collect_list(F.struct("__end", *local)).over(Window.partitionBy(key).orderBy("__end").rangeBetween(-reach, 0))
+    ends = ends.withColumn("__near", near)
+    out, by_key = {}, Window.partitionBy(key).orderBy("__b")
+
+    def weighed(name: str, alpha: float) -> Callable[[Column, Column], Column]:
+        return lambda acc, e: acc + power(alpha, F.col("__end") - e["__end"]) * e[f"__l_{name}"]
+
+    for name, (_, alpha, _) in means.items():
+        sums = F.aggregate("__near", F.lit(0.0), weighed(name, alpha))
+        out[name] = F.coalesce(F.lag(sums).over(by_key), F.lit(0.0)).alias(f"__c_{name}")
+    x = x.join(ends.select(key, "__b", *out.values()), [key, "__b"])
+    for name, (_, alpha, first) in means.items():
+        x = x.withColumn(name, F.when(F.col("__t") >= first, F.col(f"__l_{name}") + power(alpha, F.col("__pos") + 1) * F.col(f"__c_{name}")))
+    return x.drop(*local, *[f"__c_{name}" for name in means])
 
 
 def technical(bars: DataFrame) -> DataFrame:
-    """Exponentially weighted RSI, MACD and ATR: recursions, so each symbol's history goes to one call."""
+    """Exponentially weighted RSI, MACD and ATR, from each symbol's first row on."""
     cols = ["symbol", "date", "high", "low", "close"]
-    schema = ", ".join(f"{n} {t}" for n, t in bars.select(*cols).dtypes) + ", rsi double, dif double, dea double, macd double, atr double"
-    out = bars.select(*cols).groupBy("symbol").applyInPandas(_technical, schema)
-    return out.select(*cols, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("rsi", "dif", "dea", "macd", "atr")])
+    c, h, lo, before = (F.col(k).cast("double") for k in ("close", "high", "low", "__last_close"))
+    move = c - before
+    tr = F.greatest(h - lo, F.abs(h - before), F.abs(lo - before))  # greatest passes over what is missing
+    x = ewm(in_blocks(bars.select(*cols), "close"), {
+        "__up": (F.greatest(move, F.lit(0.0)), 1 / 14, 1), "__down": (F.greatest(-move, F.lit(0.0)), 1 / 14, 1), "atr": (tr, 1 / 14, 0), "__fast": (c, 2 / 13, 0), "__slow": (c, 2 / 27, 0),
+    })
+    x = ewm(x.withColumn("dif", F.col("__fast") - F.col("__slow")), {"dea": (F.col("dif"), 0.2, 0)})
+    rsi = F.when(F.col("__down") != 0, 100 - 100 / (1 + F.col("__up") / F.col("__down")))
+    return x.select(*cols, rsi.alias("rsi"), "dif", "dea", (2 * (F.col("dif") - F.col("dea"))).alias("macd"), "atr")
 
 
 def technical_signal(tech: DataFrame, smooth: int = 5) -> DataFrame:
