@@ -75,7 +75,8 @@ def approximate_fill(missing: DataFrame, pit: DataFrame) -> DataFrame:
 
 
 def chain_hash(prev: Column, payload: Column) -> Column:
-    return F.sha2(F.concat_ws("|", prev, payload).cast("binary"), 256)
+    """Hash of the hash before and the payload; a null payload is none, not an empty one."""
+    return F.sha2(F.concat(prev, F.when(payload.isNull(), F.lit("")).otherwise(F.concat(F.lit("|"), payload))).cast("binary"), 256)
 
 
 def verify_chain(ledger: DataFrame, head: int | None = None) -> DataFrame:
@@ -106,7 +107,7 @@ def build_chain(rows: DataFrame) -> DataFrame:
                 if own != ledger:
                     ledger, prev = own, ""
                 prevs.append(prev)
-                prev = hashlib.sha256(f"{prev}|{payload}".encode()).hexdigest()
+                prev = hashlib.sha256((prev if payload is None or payload != payload else f"{prev}|{payload}").encode()).hexdigest()
                 hashes.append(prev)
             yield pdf.assign(prev=prevs, hash=hashes)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
+from tessera.operators.quantiles import exact_quantiles
 
 
 def latest(df: DataFrame, c: str):
@@ -31,8 +32,8 @@ def filter_universe(df: DataFrame, as_of: str, prefixes: list[str] | None = None
     out = df.where(S.has_prefix("symbol", prefixes)) if prefixes else df
     out = out.where(~F.coalesce(F.col("name").rlike("ST|退"), F.lit(False)) & ~F.coalesce("is_st", F.lit(False)))
     # one row decides the unit and whether any listing date is known
-    facts = out.agg((F.median("float_cap") > 1e6).alias("__big"), (F.count("list_date") > 0).alias("__dated"))
-    out = out.crossJoin(F.broadcast(facts))
+    big = exact_quantiles(out, "float_cap", (0.5,)).select((F.col("q0") > 1e6).alias("__big"))
+    out = out.crossJoin(F.broadcast(big)).crossJoin(F.broadcast(out.agg((F.count("list_date") > 0).alias("__dated"))))
     c = F.when(F.coalesce("__big", F.lit(False)), F.col("float_cap") / 1e8).otherwise(F.col("float_cap"))
     out = out.where(c.isNull() | c.between(*cap)).where((F.col("turnover") >= least_turnover) & (F.col("amount") > 0))
     old = F.date_diff(F.lit(as_of).cast("date"), F.col("list_date")) >= listed_days

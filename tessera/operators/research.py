@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import ic
+from tessera.operators.quantiles import exact_quantiles
 
 
 def screen(report: DataFrame, min_ic: float = 0.02, min_icir: float = 0.3, min_t: float = 2.0) -> DataFrame:
@@ -132,7 +133,7 @@ def evidence_gate(summary: DataFrame, least_mean: float = 0.0, least_positive: f
 
 def percent_or_ratio(df: DataFrame, c: str) -> DataFrame:
     """The column as a ratio: percent points are found by the 99.9 % quantile of its absolute values (one row)."""
-    big = df.agg((F.percentile(F.abs(c), F.lit(0.999)) > 0.5).alias("__pct"))
+    big = exact_quantiles(df, F.abs(c), (0.999,)).select((F.col("q0") > 0.5).alias("__pct"))
     return df.crossJoin(F.broadcast(big)).withColumn(c, F.when(F.coalesce("__pct", F.lit(False)), F.col(c) / 100).otherwise(F.col(c))).drop("__pct")
 
 

@@ -10,6 +10,7 @@ from tessera.functions import scalar as S
 from tessera.operators import pit
 from tessera.operators import relational as R
 from tessera.operators import windows as W
+from tessera.operators.quantiles import exact_quantiles
 from tessera.plans.registry import query
 from tessera.plans.windows import sql_frame
 from tessera.sources import panels as P
@@ -246,13 +247,15 @@ def _(spark, d):
 def _(spark, d):
     s = (F.col("fill_price") / F.col("decision_price") - 1) * F.when(F.col("side") == "buy", 1).otherwise(-1)
     x = P.fills(spark, d).select("side", s.alias("s"))
-    return x.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean"), F.percentile("s", F.lit(0.5)).alias("p50"), F.percentile("s", F.lit(0.95)).alias("p95"), F.max("s").alias("worst"))
+    q = exact_quantiles(x, "s", (0.5, 0.95), ("side",)).select("side", F.col("q0").alias("p50"), F.col("q1").alias("p95"))
+    return x.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean"), F.max("s").alias("worst")).join(q, "side")
 
 
 @query("a12_participation", "p50:8 p95:8 most:2", "bars fills", ADV + ", x as (select qty * fill_price as v, qty * fill_price / adv as p from fills join adv using (symbol))", "select quantile_cont(p, 0.5) as p50, quantile_cont(p, 0.95) as p95, max(v) as most from x")
 def _(spark, d):
     x = P.fills(spark, d).join(R.adv_vol(P.bars(spark, d)), "symbol").select((F.col("qty") * F.col("fill_price")).alias("v"), "adv")
-    return x.agg(F.percentile(F.col("v") / F.col("adv"), F.lit(0.5)).alias("p50"), F.percentile(F.col("v") / F.col("adv"), F.lit(0.95)).alias("p95"), F.max("v").alias("most"))
+    q = exact_quantiles(x, F.col("v") / F.col("adv"), (0.5, 0.95)).select(F.col("q0").alias("p50"), F.col("q1").alias("p95"))
+    return x.agg(F.max("v").alias("most")).crossJoin(F.broadcast(q))
 
 
 @query("a13_cost_by_notional", "bucket n cost:8", "fills", "", "select floor(qty * fill_price / 20000) * 20000 as bucket, count(*) as n, avg(tax) as cost from fills group by 1")
