@@ -48,10 +48,15 @@ def _(spark, d):
 
 @query("s24_repaired_rows", "symbol n", "ebars", "m as (select symbol, max(date) as wm from ebars where date <= date '2024-01-20' group by symbol)", "select e.symbol, count(*) as n from ebars e left join m using (symbol) where wm is null or e.date > wm group by 1")
 def _(spark, d):
-    from tessera.sources.stores import above_watermark
+    from tessera.sources import buckets
+    from tessera.sources.scratch import shared_folder
 
-    b = P.events_bars(spark, d)
-    return above_watermark(b, b.where("date <= date'2024-01-20'")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    b, at = P.events_bars(spark, d), shared_folder(spark)
+    old = b.where("date <= date'2024-01-20'")
+    buckets.create(old, at, ["symbol", "date"], ["symbol"], 16)
+    buckets.repair(b, at, "symbol", "date")
+    added = buckets.read(spark, at).join(old.select("symbol", "date"), ["symbol", "date"], "left_anti")  # what the table has now beyond what it had
+    return added.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s25_factor_ic_store", "factor date:d ic:8", "bars", IC, "select factor, date, ic from ic where date between date '1999-01-01' and date '1999-12-31' and ic is not null")
