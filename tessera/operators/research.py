@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,3 +188,29 @@ def validate_batch(panel: DataFrame, hypotheses: list[Hypothesis], evaluator: Ca
     out = spark.createDataFrame([(f,) for f in passed], "factor string").join(judged.select("factor", "passed"), "factor", "left")
     status = F.when(F.coalesce("passed", F.lit(False)), F.lit("verified")).otherwise(F.lit("falsified"))
     return done.unionByName(out.select("factor", F.lit("return_evaluated").alias("stage"), status.alias("status"), F.lit("").alias("reasons")))
+
+
+def daily_evaluator(metric: Callable, least: int = 5, least_mean: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+    """An evaluator for ``validate_batch`` from ``metric(values, labels) -> float`` over pandas series.
+
+    The metric sees one factor's cross-section of a day at a time, as a grouped aggregate over Arrow batches, so a task never
+    holds a whole factor; a factor passes if the mean of its days is above ``least_mean``.  Rows without value or label and days
+    of fewer than ``least`` rows don't count."""
+    def day(values: pd.Series, labels: pd.Series) -> float:
+        return float(metric(values, labels))
+
+    def rows(values: pd.Series) -> int:  # a built-in count can't stand beside these
+        return len(values)
+
+    def judge(long: DataFrame) -> DataFrame:
+        x = long.where(F.col("value").isNotNull() & F.col("label").isNotNull())
+        days = x.groupBy("factor", "date").agg(F.pandas_udf(day, "double")(F.col("value"), F.col("label")).alias("m"), F.pandas_udf(rows, "long")(F.col("value")).alias("n")).where(F.col("n") >= least)
+        return days.groupBy("factor").agg(F.count("m").alias("days"), F.avg("m").alias("mean")).withColumn("passed", F.coalesce(F.col("mean") > least_mean, F.lit(False)))
+
+    return judge
+
+
+def upper_half(values, labels):
+    """Mean label of the values above their median less that of the others."""
+    above = values > values.median()
+    return labels[above].mean() - labels[~above].mean() if above.any() and not above.all() else float("nan")

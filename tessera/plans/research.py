@@ -286,3 +286,29 @@ def _(spark, d):
     e.select(line.alias("value")).write.text(at)
     good, bad = stores.read_ledger(spark, at, "seq long, event_type string")
     return good.agg(F.count("seq").alias("n")).select(F.lit("good").alias("kind"), "n").unionByName(bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit("bad").alias("kind"), "n"))
+
+
+HYPOTHESES = [
+    X.Hypothesis("level", "close", ("close",)), X.Hypothesis("against", "-close", ("close",)), X.Hypothesis("spread", "(high - low) / close", ("high", "low", "close")),
+    X.Hypothesis("late", "fwd_1", ("fwd_1",)), X.Hypothesis("unknown", "roe", ("roe",)), X.Hypothesis("busy", "turnover", ("turnover",)),
+]
+
+
+@query("v02_evaluated_hypotheses", "factor stage status", "bars",
+    """long as (select date, symbol, u.factor, u.value, change_pct as label from bars, lateral (values ('level', close), ('against', -close), ('spread', (high - low) / close), ('busy', cast(turnover as double))) u(factor, value)),
+e0 as (select *, ntile(4) over (partition by factor order by date, symbol) as seg from long), eb as (select factor, count(value) / count(*)::double as coverage, stddev_samp(value) as std from e0 group by 1),
+ev as (select * from e0 where value is not null and label is not null),
+ef as (select factor, corr(a, b) as ic from (select factor, rank() over (partition by factor order by value) + (count(*) over (partition by factor, value) - 1) / 2.0e0 as a, rank() over (partition by factor order by label) + (count(*) over (partition by factor, label) - 1) / 2.0e0 as b from ev) group by 1),
+es as (select factor, seg, corr(a, b) as c from (select factor, seg, rank() over (partition by factor, seg order by value) + (count(*) over (partition by factor, seg, value) - 1) / 2.0e0 as a, rank() over (partition by factor, seg order by label) + (count(*) over (partition by factor, seg, label) - 1) / 2.0e0 as b from ev) group by 1, 2),
+ea as (select es.factor, avg(cast(sign(c) = sign(ic) as double)) as agreement from es join ef using (factor) group by 1),
+ok as (select factor from eb join ef using (factor) join ea using (factor) where coverage >= 0.5 and std > 1e-12 and ic >= 0.01 and agreement >= 0.75),
+md as (select factor, date, count(*) as n, median(value) as m from ev group by 1, 2),
+dy as (select factor, date, avg(label) filter (value > m) - avg(label) filter (value <= m) as d from ev join md using (factor, date) join ok using (factor) where n >= 5 group by 1, 2),
+ps as (select factor, avg(d) > 0 as passed from dy group by 1)""",
+    """select factor, 'return_evaluated' as stage, case when coalesce(passed, false) then 'verified' else 'falsified' end as status from ok left join ps using (factor)
+union all select factor, 'evidence_rejected', 'rejected' from eb where factor not in (select factor from ok)
+union all select * from (values ('late', 'lint_rejected', 'rejected'), ('unknown', 'lint_rejected', 'rejected'))""")
+def _(spark, d):
+    b = P.bars(spark, d)
+    panel = b.join(W.forward_returns(b, (1,)), ["symbol", "date"]).withColumn("label", F.col("change_pct"))
+    return X.validate_batch(panel, HYPOTHESES, X.daily_evaluator(X.upper_half))

@@ -108,6 +108,14 @@ def test_rejected_hypotheses_never_reach_the_evaluator(spark):
     assert {r.stage for r in research.validate_batch(panel(spark), good).collect()} == {"evidence_passed"}
 
 
+def test_daily_evaluator_sees_days_of_what_passed(spark):
+    rows = [(f, day(t), float(i), float(i * sign + t % 2)) for f, sign in (("up", 1), ("down", -1)) for t in range(6) for i in range(8)] + [("up", day(9), 1.0, -100.0), ("up", day(3), None, -100.0)]
+    long = spark.createDataFrame(rows, "factor string, date date, value double, label double")
+    judge = research.daily_evaluator(lambda v, y: float(np.cov(v, y)[0, 1]))
+    assert {(r["factor"], r["days"], r["passed"]) for r in judge(long).collect()} == {("up", 6, True), ("down", 6, False)}
+    assert judge(long.limit(0)).count() == 0
+
+
 def slow_haar(x, levels=3):
     a, details = np.array(x, float), []
     for _ in range(levels):
