@@ -21,21 +21,34 @@ def _ic_of(x: DataFrame, keys: list[str], least: int) -> DataFrame:
     return out.withColumn("status", status).select(*keys, "n", "status", F.when(F.col("status") == "settled", F.col("__ic")).alias("ic"))
 
 
+#: A value that a two-hundredth of all rows or more have is heavy; there are at most so many of them.
+HEAVY = 200
+
+
 def whole_ranks(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Adds ``__rank_<c>``, the average rank of each column in groups that are too large for one task.
 
-    Rows are dealt out by ranges of (keys, value), so equal values meet in one part; a place is the rows of the parts before
-    (a row for each group and part) and the place inside the part.  Columns must not be null."""
+    Values are counted first, before any shuffle by value, so a value that half of the rows have is one row like any other when
+    the distinct values are dealt out by ranges of (keys, value); its rank follows from the counts before it: those of the parts
+    before (a row for each group and part) and inside its part.  Rows then look their values' ranks up: heavy values in a
+    broadcast of at most ``HEAVY`` rows, the others by a join in which no value has many rows.  Columns must not be null."""
     from tessera.sources.scratch import written
 
     for c in columns:
-        dealt = written(df.repartitionByRange(*keys, c).withColumn("__part", F.spark_partition_id()))
-        by = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        parts = dealt.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__c"))
-        parts = parts.select(*keys, "__part", F.coalesce(F.sum("__c").over(by), F.lit(0)).alias("__before"))
-        own = Window.partitionBy(*keys, "__part").orderBy(c)
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "__part", c))
-        df = dealt.join(parts, [*keys, "__part"]).withColumn(f"__rank_{c}", F.col("__before") + F.rank().over(own) + (ties - 1) / 2).drop("__part", "__before")
+        values = df.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__c"))
+        dealt = written(values.repartitionByRange(*keys, c).withColumn("__part", F.spark_partition_id()))
+        before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = dealt.groupBy(*keys, "__part").agg(F.sum("__c").alias("__p"))
+        parts = parts.select(*keys, "__part", F.coalesce(F.sum("__p").over(before), F.lit(0)).alias("__before"))
+        upto = F.sum("__c").over(Window.partitionBy(*keys, "__part").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+        rank = (F.col("__before") + upto - (F.col("__c") - 1) / 2).alias(f"__rank_{c}")
+        ranks = dealt.join(parts, [*keys, "__part"]).select(*keys, c, "__c", rank)
+        total = dealt.agg(F.sum("__c").alias("__all"))
+        heavy = dealt.crossJoin(F.broadcast(total)).where(F.col("__c") * HEAVY >= F.col("__all")).select(*keys, c)
+        heavy = ranks.join(F.broadcast(heavy), [*keys, c], "left_semi").drop("__c")
+        looked = df.join(F.broadcast(heavy), [*keys, c], "left")
+        light = looked.where(F.col(f"__rank_{c}").isNull()).drop(f"__rank_{c}").join(ranks.drop("__c"), [*keys, c])
+        df = looked.where(F.col(f"__rank_{c}").isNotNull()).unionByName(light)
     return df
 
 
