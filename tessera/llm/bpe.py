@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, materialize
+from tessera.llm.common import arrow_map, materialize, remembered
 
 BUCKETS = 16384
 NONE = 2147483647
@@ -255,6 +255,7 @@ def coder(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, max_dic
 
 
 _made: dict[str, tuple[Encoder, Decoder]] = {}
+remembered.append(_made)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_dictionary: int = 200_000) -> DataFrame:

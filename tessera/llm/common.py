@@ -41,6 +41,16 @@ def make_room(but: dict | None = None) -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_working: list[str] = []
+
+
+def enter(operator: str) -> None:
+    """Called by a worker as it begins a partition: makes room if it worked for another operator before."""
+    if _working != [operator]:
+        _working[:] = [operator]
+        make_room()
+
+
 class Columns(dict):
     """The columns of a batch as lists, made when they are first asked for; lists of numbers as NumPy arrays."""
 
@@ -70,6 +80,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Columns], dict[str, list]], schema: s
     out = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(fn.__module__)
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS):
                 b = whole.slice(k, ROWS)
@@ -91,6 +102,7 @@ def arrow_stream(df: DataFrame, fn: Callable[[Iterator[Columns]], Iterator[dict[
     out = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(fn.__module__)
         pieces = (Columns(b.slice(k, ROWS)) for b in batches for k in range(0, b.num_rows, ROWS))
         for cols in fn(pieces):
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
