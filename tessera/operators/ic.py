@@ -22,7 +22,7 @@ def _ic_of(x: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 
 #: A value that a two-hundredth of all rows or more have is heavy; there are at most so many of them.
-HEAVY = 200
+HEAVY, SALTS = 200, 64
 
 
 def whole_ranks(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -30,25 +30,26 @@ def whole_ranks(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 
     Values are counted first, before any shuffle by value, so a value that half of the rows have is one row like any other when
     the distinct values are dealt out by ranges of (keys, value); its rank follows from the counts before it: those of the parts
-    before (a row for each group and part) and inside its part.  Rows then look their values' ranks up: heavy values in a
-    broadcast of at most ``HEAVY`` rows, the others by a join in which no value has many rows.  Columns must not be null."""
+    before (a row for each group and part) and inside its part.  Rows then look their values' ranks up by a join; rows of heavy
+    values, which a broadcast of at most ``HEAVY`` rows names, are dealt over ``SALTS`` parts of it.  Columns must not be null."""
     from tessera.sources.scratch import written
 
+    df = written(df)
     for c in columns:
         values = df.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__c"))
         dealt = written(values.repartitionByRange(*keys, c).withColumn("__part", F.spark_partition_id()))
         before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         parts = dealt.groupBy(*keys, "__part").agg(F.sum("__c").alias("__p"))
         parts = parts.select(*keys, "__part", F.coalesce(F.sum("__p").over(before), F.lit(0)).alias("__before"))
+        least = dealt.agg((F.sum("__c") / HEAVY).alias("__least"))  # one row
         upto = F.sum("__c").over(Window.partitionBy(*keys, "__part").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
         rank = (F.col("__before") + upto - (F.col("__c") - 1) / 2).alias(f"__rank_{c}")
-        ranks = dealt.join(parts, [*keys, "__part"]).select(*keys, c, "__c", rank)
-        total = dealt.agg(F.sum("__c").alias("__all"))
-        heavy = dealt.crossJoin(F.broadcast(total)).where(F.col("__c") * HEAVY >= F.col("__all")).select(*keys, c)
-        heavy = ranks.join(F.broadcast(heavy), [*keys, c], "left_semi").drop("__c")
-        looked = df.join(F.broadcast(heavy), [*keys, c], "left")
-        light = looked.where(F.col(f"__rank_{c}").isNull()).drop(f"__rank_{c}").join(ranks.drop("__c"), [*keys, c])
-        df = looked.where(F.col(f"__rank_{c}").isNotNull()).unionByName(light)
+        salts = F.when(F.col("__c") >= F.col("__least"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        ranks = dealt.join(parts, [*keys, "__part"]).select(*keys, c, "__c", rank).crossJoin(F.broadcast(least))
+        ranks = ranks.withColumn("__salt", F.explode(salts)).drop("__c", "__least")  # after the ranks: rows of a heavy value stand for one
+        heavy = dealt.crossJoin(F.broadcast(least)).where(F.col("__c") >= F.col("__least")).select(*keys, c, F.lit(True).alias("__heavy"))
+        salt = F.when(F.col("__heavy"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")  # of a written table, so the same in a retry
+        df = df.join(F.broadcast(heavy), [*keys, c], "left").withColumn("__salt", salt).drop("__heavy").join(ranks, [*keys, c, "__salt"]).drop("__salt")
     return df
 
 
