@@ -100,7 +100,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 CRC32 = """xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, length({x}) + 1), lambda i: cast(ascii({x}[i]) as bigint))),
   lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: case when v & 1 = 1 then xor(v >> 1, cast(3988292384 as bigint)) else v >> 1 end)), cast(4294967295 as bigint))"""
 
+
+
+def _plus(state: str, cost: str, edit: str) -> str:
+    """A state of the repair's SQL, nine digits of cost and then the edits, with one more edit; ~ is out of reach."""
+    return f"case when {state} = '~' then '~' else lpad(cast(cast({state}[1:9] as int) + {cost} as varchar), 9, '0') || {state}[10:] || {edit} end"
+
+
+#: One step over a conversation's symbols in the order of states nothing, system, user, assistant; + stands for insertions.
+_INSERTED = f"least(s[3], {_plus('s[1]', '3', chr(39) + 'I' + chr(39))}, {_plus('s[2]', '3', chr(39) + 'I' + chr(39))}, {_plus('s[4]', '3', chr(39) + 'I' + chr(39))})"
+_TO = {r: [_plus(f"s[{i}]", f"c + if(r = '{r}', 0, 3)", f"if(r = '{r}', 'K', 'R')") for i in states] for r, states in (("u", (1, 2, 4)), ("a", (3,)))}
+_DELETED = [_plus(f"s[{i}]", "4", "'D'") for i in range(1, 5)]
+REPAIR_STEP = f"""case when x[1] = '+' then list_transform([{_INSERTED}], lambda u: [s[1], s[2], u, least(s[4], {_plus('u', '3', chr(39) + 'I' + chr(39))})])[1]
+  else list_transform([{{'r': lower(x[1]), 'c': if(x[1] = upper(x[1]), 3, 0)}}], lambda k: list_transform([k.r], lambda r: list_transform([k.c], lambda c: case when r = 'd' then [{', '.join(_DELETED)}]
+    else [{_DELETED[0]}, least({_DELETED[1]}, if(r = 's', {_plus('s[1]', 'c', chr(39) + 'K' + chr(39))}, '~')), least({_DELETED[2]}, {', '.join(_TO['u'])}), least({_DELETED[3]}, {_TO['a'][0]})] end)[1])[1])[1] end"""
+
 SQL: dict[str, str] = {
+    "op11_repair": rf"""
+with t as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+h as (select *, {CRC32.format(x="k")} % 20 as f from t),
+b as (select conv_id, turn, case when f = 4 then 'user' else role end as role, case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when f = 3 then [0, 1] else [0] end) as c from h where f != 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, c) as pos, row_number() over (partition by conv_id, role, text order by turn nulls first, c) > 1 as again,
+    right(regexp_replace(text, '[ 	-]+$', ''), 1) as last from b),
+m as (select *, case when last = '' then 'blank' when again then 'duplicate' when last not in ('.', '!', '?') then 'truncated' else '' end as fault, lag(role[1:1]) over (partition by conv_id order by pos) || role[1:1] as pair from o),
+y as (select *, case when fault in ('blank', 'duplicate') then 'd' else case when fault = 'truncated' then upper(r) else r end end as symbol from (select *, case when role[1:1] in ('s', 'u', 'a') then role[1:1] else 'x' end as r from m)),
+g as (select conv_id, case when count(turn) = 0 then 0 else max(turn) - min(turn) + 1 - count(distinct turn) end as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, list(['+', symbol] order by pos) as symbols from y group by conv_id),
+p as (select *, list_reduce(list_prepend(['000000000', '~', '~', '~'], list_transform(flatten(symbols) || ['+'], lambda q: [q])), lambda s, x: {REPAIR_STEP}) as s from g),
+e as (select *, cast(least(s[1], s[4])[1:9] as bigint) as cost, least(s[1], s[4])[10:] as audit from p),
+a as (select conv_id, i, audit[i] as edit, i - length(replace(audit[1:i], 'I', '')) as inserted from e, unnest(range(1, length(audit) + 1)) as u(i)),
+w as (select a.conv_id, a.i, a.edit, y.role, y.text, row_number() over (partition by a.conv_id order by a.i) as n from a left join y on y.conv_id is not distinct from a.conv_id and a.edit != 'I' and y.pos = a.i - a.inserted where a.edit != 'D'),
+q as (select *, n - max(case when n = 1 and edit = 'K' and role[1:1] = 's' then 1 else 0 end) over (partition by conv_id) as k from w),
+r as (select conv_id, string_agg(case when edit = 'K' then role when k % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by i) as repaired from q group by conv_id)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join e on e.conv_id is not distinct from c.conv_id left join r on r.conv_id is not distinct from c.conv_id
+""",
     "op5_mixing": r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),

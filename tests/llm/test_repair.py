@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import pytest
 
 from tessera.llm import queries, repair
@@ -107,6 +108,13 @@ def test_repair_agrees_with_brute_force(spark, sf_dir):
     assert repair.report(repair.damage(df.limit(0)), gone="gone").count() == 0
 
 
+def test_sql_gives_the_same_rows(sf_dir):
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
+    rows = con.execute("select conv_id, turn, role, text from conversations").fetchall()
+    assert sorted(con.execute(queries.SQL["op11_repair"]).fetchall(), key=repr) == brute(rows)
+
+
 def test_long_conversations_in_blocks_and_files(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(1, t, rng.choice(["user", "assistant", "system"]), rng.choice(["One.", "two", f"{t}!"])) for t in range(5000)]
