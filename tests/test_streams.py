@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 
 from tessera.streaming import ops, state
 
+@pytest.fixture(autouse=True)
+def one_state_store(spark):
+    """Two keys need no more."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 SCHEMA = "id long, ts timestamp, key string, v double"
 START = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 
