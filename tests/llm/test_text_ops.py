@@ -296,7 +296,7 @@ def test_mixing(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf_dir)
     want = con.execute(queries.SQL[name]).fetchall()
