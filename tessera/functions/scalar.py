@@ -31,6 +31,12 @@ def safe_div(a: Column, b: Column, default: float | None = None, eps: float = 1e
     return F.when(F.abs(b) > eps, a / b).otherwise(F.lit(default).cast("double"))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: over zero it is infinite or, for zero itself and NaN, NaN; Spark's own division is an error there."""
+    zero = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    return F.when(b == 0, zero).otherwise(F.try_divide(a, b))
+
+
 def safe_log(c: Column, default: float | None = None, eps: float = 1e-9) -> Column:
     return F.when(F.abs(c) > eps, F.log(F.abs(c))).otherwise(F.lit(default).cast("double"))
 
