@@ -15,6 +15,9 @@ from tessera.operators.statistics import GATE_START, confirm
 from tessera.sources.stores import exists
 from tessera.streaming.state import in_order
 
+#: Bytes of a row group in replayed files.
+ROW_GROUP = 4 << 20
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,14 +33,19 @@ def event_stream(spark: SparkSession, folder: str, name: str, schema: str, ts: s
 
 def replay(df: DataFrame, slices: Column, n: int, folder: str, closing: str | None, ts: str = "ts") -> None:
     """Writes a table as files in the order of its arrival, one for each of the ``n`` values of ``slices``; the last also has a
-    row of nothing but the time ``closing``, which moves a watermark past all others.  The table is read once for each slice."""
-    x = df.withColumn("__slice", slices)
+    row of nothing but the time ``closing``, which moves a watermark past all others.
+
+    The table is read once and written by slices in parallel; then each slice becomes one file, of short row groups, so that its
+    micro-batch reads it in several tasks."""
+    spark, dealt = df.sparkSession, f"{folder}-dealt"
+    df.withColumn("__slice", slices).write.partitionBy("__slice").parquet(dealt)
+    x = spark.read.schema(", ".join(f"`{c}` {t}" for c, t in [*df.dtypes, ("__slice", "int")])).parquet(dealt)
     for i in range(n):
         part = x.where(F.col("__slice") == i).drop("__slice").coalesce(1)
         if closing and i == n - 1:
-            end = df.sparkSession.range(1).select(*[(F.lit(closing) if c == ts else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes])
+            end = spark.range(1).select(*[(F.lit(closing) if c == ts else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes])
             part = part.unionByName(end).coalesce(1)
-        part.write.mode("append").parquet(folder)
+        part.write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(folder)
 
 
 def run(spark: SparkSession, writer) -> None:

@@ -52,3 +52,23 @@ def test_a_silent_keys_timer_leaves_the_timer_of_rows_that_wait():
     assert store.timers == {5000}
     list(p.handleExpiredTimer((7,), at(5000), None))
     assert 9000 in store.timers
+
+
+def test_a_replay_reads_its_table_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.streaming import ops
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def read(k):
+        seen.add(1)
+        return k
+
+    df = spark.range(60).select(read("id").alias("id"), F.timestamp_seconds("id").alias("ts"))
+    ops.replay(df, F.pmod("id", F.lit(4)).cast("int"), 4, str(tmp_path / "arrivals"), "2030-01-01 00:00:00")
+    files = sorted((tmp_path / "arrivals").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    assert len(files) == 4 and seen.value <= 120  # once for the rows, at most once more for their slices
+    got = [sorted(r["id"] for r in spark.read.parquet(str(f)).collect() if r["id"] is not None) for f in files]
+    assert got == [list(range(i, 60, 4)) for i in range(4)]
