@@ -23,7 +23,8 @@ def control_limits(series: DataFrame, n: int = 20, sigma: float = 3.0) -> DataFr
 
 def we_rules(series: DataFrame) -> DataFrame:
     """Runs: 9 on one side of the mean, 6 monotone, 4 of 5 beyond one deviation, 8 beyond one deviation."""
-    whole, own = Window.partitionBy("indicator"), Window.partitionBy("indicator").orderBy("date")
+    own = Window.partitionBy("indicator").orderBy("date")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in order of date, so that a value that equals the mean has the same sign in any run
     x = series.withColumns({"__m": F.avg("value").over(whole), "__s": F.stddev_samp("value").over(whole), "__p": F.lag("value").over(own)})
     side, step = F.signum(F.col("value") - F.col("__m")), F.signum(F.col("value") - F.col("__p"))
     out = (F.abs(F.col("value") - F.col("__m")) > F.col("__s")).cast("int")
@@ -37,7 +38,8 @@ def we_rules(series: DataFrame) -> DataFrame:
 
 def cusum(series: DataFrame, k: float = 0.5, h: float = 4.0) -> DataFrame:
     """Two-sided sums by their closed form: the cumulated deviations less their least value so far (and zero)."""
-    whole, own = Window.partitionBy("indicator"), Window.partitionBy("indicator").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    by = Window.partitionBy("indicator").orderBy("date")
+    whole, own = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, 0)
     x = series.withColumns({"__m": F.avg("value").over(whole), "__s": F.stddev_samp("value").over(whole)})
     up, down = F.col("value") - F.col("__m") - k * F.col("__s"), F.col("__m") - F.col("value") - k * F.col("__s")
     x = x.withColumns({"__u": F.sum(up).over(own), "__d": F.sum(down).over(own)})
