@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 from tessera.operators import ic
 from tessera.operators.quantiles import exact_quantiles
+from tessera.sources.scratch import written
 
 
 def screen(report: DataFrame, min_ic: float = 0.02, min_icir: float = 0.3, min_t: float = 2.0) -> DataFrame:
@@ -29,19 +30,26 @@ def fuse(long: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("date", "
 
 
 def evidence(long: DataFrame, segments: int = 4, least: int = 30) -> DataFrame:
-    """Coverage, distinct values, deviation, full-sample rank IC and agreement of its sign over ordered segments, with reasons."""
+    """Coverage, distinct values, deviation, full-sample rank IC and agreement of its sign over ordered segments, with reasons.
+
+    The table is read several times, so write it first where it is costly."""
     # places over all days from the days' counts (a row for each day and factor), so that no factor is sorted in one task
     by = Window.partitionBy("factor").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     days = long.groupBy("factor", "date").agg(F.count(F.lit(1)).alias("__c"))
-    days = days.withColumns({"__before": F.coalesce(F.sum("__c").over(by), F.lit(0)), "__n": F.sum("__c").over(Window.partitionBy("factor"))}).drop("__c")
-    place = F.col("__before") + F.row_number().over(Window.partitionBy("factor", "date").orderBy("symbol")) - 1
+    days = days.withColumns({"__before": F.coalesce(F.sum("__c").over(by), F.lit(0)), "__n": F.sum("__c").over(Window.partitionBy("factor"))})
     low, extra = F.floor(F.col("__n") / segments), F.col("__n") % segments
     head = extra * (low + 1)
-    x = long.join(days, ["factor", "date"]).withColumn("__i", place)
-    x = x.withColumn("__seg", F.when(F.col("__i") < head, F.floor(F.col("__i") / (low + 1))).otherwise(extra + F.floor((F.col("__i") - head) / low)) + 1)
-    base = x.groupBy("factor").agg((F.count("value") / F.count(F.lit(1))).alias("coverage"), F.countDistinct("value").alias("distinct"), F.stddev_samp("value").alias("std"))
-    full = ic.whole_rank_ic(x, ["factor"], least=least).select("factor", "n", F.col("ic").alias("ic"))
-    seg = ic.whole_rank_ic(x, ["factor", "__seg"], least=2).join(full.select("factor", F.col("ic").alias("all")), "factor")
+    segment = lambda i: (F.when(i < head, F.floor(i / (low + 1))).otherwise(extra + F.floor((i - head) / low)) + 1).cast("int")
+    days = days.withColumns({"__seg": segment(F.col("__before")), "__last": segment(F.col("__before") + F.col("__c") - 1)}).drop("__c")
+    # a day inside a segment needs no order; only the days that two segments share are sorted
+    x = long.select("factor", "date", "symbol", "value", "label").join(F.broadcast(days), ["factor", "date"])
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("factor", "date").orderBy("symbol")) - 1
+    shared = x.where(F.col("__seg") < F.col("__last")).withColumn("__i", place).withColumn("__seg", segment(F.col("__i")))
+    x = x.where(F.col("__seg") == F.col("__last")).select("factor", "__seg", "value", "label").unionByName(shared.select("factor", "__seg", "value", "label"))
+    base = long.groupBy("factor").agg((F.count("value") / F.count(F.lit(1))).alias("coverage"), F.countDistinct("value").alias("distinct"), F.stddev_samp("value").alias("std"))
+    ics = written(ic.parted_rank_ic(x, ["factor"], "__seg", least=least))  # a row for each factor and segment
+    full = ics.where("__seg = 0").select("factor", "n", "ic")
+    seg = ics.where("__seg > 0").join(full.select("factor", F.col("ic").alias("all")), "factor")
     agree = seg.groupBy("factor").agg(F.avg((F.signum("ic") == F.signum("all")).cast("double")).alias("agreement"))
     out = base.join(full, "factor", "left").join(agree, "factor", "left")
     reasons = F.array(F.when(F.col("coverage") < 0.5, F.lit("coverage")), F.when(F.col("std") <= 1e-12, F.lit("constant")), F.when(F.abs("ic") < 0.01, F.lit("weak")), F.when(F.col("agreement") < 0.75, F.lit("unstable")))

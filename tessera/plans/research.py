@@ -14,7 +14,7 @@ from tessera.plans.registry import query
 from tessera.plans.windows import FWD
 from tessera.sources import panels as P
 from tessera.sources import stores
-from tessera.sources.scratch import shared_folder
+from tessera.sources.scratch import shared_folder, written
 
 SM = IC + f", sm as ({SUMMARY.format('ic')})"
 
@@ -52,7 +52,7 @@ es as (select factor, seg, corr(a, b) as c from (select factor, seg, rank() over
 ea as (select es.factor, avg(cast(sign(c) = sign(ic) as double)) as agreement from es join ef using (factor) group by 1)""",
     """select factor, coverage, "distinct", n, ic, agreement, concat_ws(',', case when coverage < 0.5 then 'coverage' end, case when std <= 1e-12 then 'constant' end, case when abs(ic) < 0.01 then 'weak' end, case when agreement < 0.75 then 'unstable' end) as reasons from eb join ef using (factor) join ea using (factor)""")
 def _(spark, d):
-    return X.evidence(scores_long(spark, d), 4, 5)
+    return X.evidence(written(scores_long(spark, d)), 4, 5)
 
 
 @query("b17_ic_backtest", "factor hold days ic_mean:8 recent:8", "bars",
