@@ -167,11 +167,12 @@ def ts_delta(c: Column | str, w: int, symbol: str = "symbol", date: str = "date"
 
 
 def average_rank(c: Column | str, *keys: str) -> Column:
-    """Rank from 1 with ties at their mean; null for null."""
+    """Rank from 1 with ties at their mean; null for null.
+
+    The mean of the first and the last place of a value: both come from one window, so a rank costs one sort."""
     c = col(c)
-    seen = Window.partitionBy(*keys, c.isNull()).orderBy(c)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
-    return F.when(c.isNotNull(), F.rank().over(seen) + (ties - 1) / 2)
+    w = Window.partitionBy(*keys).orderBy(c.asc_nulls_last())
+    return F.when(c.isNotNull(), (F.rank().over(w) + F.count(F.lit(1)).over(w)) / 2)
 
 
 def cs_rank(c: Column | str, *keys: str) -> Column:
@@ -181,8 +182,8 @@ def cs_rank(c: Column | str, *keys: str) -> Column:
 
 def rank_percentile(c: Column | str, *keys: str) -> Column:
     """Average rank from 0 to 1; missing and lone values are 0.5."""
-    n = F.count(col(c)).over(Window.partitionBy(*keys))
-    return F.coalesce(F.when(n > 1, (average_rank(c, *keys) - 1) / (n - 1)), F.lit(0.5))
+    n = F.count(col(c)).over(Window.partitionBy(*keys))  # after the rank, whose sort serves it too
+    return F.coalesce((average_rank(c, *keys) - 1) / F.nullif(n - 1, F.lit(0)), F.lit(0.5))
 
 
 def cs_demean(c: Column | str, *keys: str) -> Column:
