@@ -179,8 +179,9 @@ def validate_batch(panel: DataFrame, hypotheses: list[Hypothesis], evaluator: Ca
     schema = "factor string, stage string, status string, reasons string"
     if not tried:
         return spark.createDataFrame(rows, schema)
-    values = F.array(*[F.struct(F.lit(h.name).alias("factor"), F.lit(h.direction).alias("direction"), F.expr(h.expression).cast("double").alias("value")) for h in tried])
-    long = panel.select("date", "symbol", F.col(label).alias("label"), F.explode(values).alias("h")).select("date", "symbol", "h.factor", "h.direction", "h.value", "label")
+    values = F.array(*[F.struct(F.lit(h.name).alias("factor"), F.expr(h.expression).cast("double").alias("value")) for h in tried])
+    long = panel.select("date", "symbol", F.col(label).alias("label"), F.explode(values).alias("h")).select("date", "symbol", "h.factor", "h.value", "label")
+    long = written(long)  # for the evidence and the evaluator
     signs = spark.createDataFrame([(h.name, h.direction) for h in tried], "factor string, direction int")
     found = evidence(long, segments, least).join(F.broadcast(signs), "factor")
     wrong = F.coalesce(F.signum("ic") != F.col("direction"), F.lit(True)) | F.coalesce(F.abs("ic") < least_ic, F.lit(True))
@@ -192,7 +193,7 @@ def validate_batch(panel: DataFrame, hypotheses: list[Hypothesis], evaluator: Ca
         return done
     if evaluator is None:
         return done.unionByName(spark.createDataFrame([(f, "evidence_passed", "verified", "") for f in passed], schema))
-    judged = evaluator(long.where(F.col("factor").isin(passed)).drop("direction"))
+    judged = evaluator(long.where(F.col("factor").isin(passed)))
     out = spark.createDataFrame([(f,) for f in passed], "factor string").join(judged.select("factor", "passed"), "factor", "left")
     status = F.when(F.coalesce("passed", F.lit(False)), F.lit("verified")).otherwise(F.lit("falsified"))
     return done.unionByName(out.select("factor", F.lit("return_evaluated").alias("stage"), status.alias("status"), F.lit("").alias("reasons")))

@@ -310,5 +310,5 @@ union all select factor, 'evidence_rejected', 'rejected' from eb where factor no
 union all select * from (values ('late', 'lint_rejected', 'rejected'), ('unknown', 'lint_rejected', 'rejected'))""")
 def _(spark, d):
     b = P.bars(spark, d)
-    panel = b.join(W.forward_returns(b, (1,)), ["symbol", "date"]).withColumn("label", F.col("change_pct"))
+    panel = W.with_forward(b, (1,)).withColumn("label", F.col("change_pct"))
     return X.validate_batch(panel, HYPOTHESES, X.daily_evaluator(X.upper_half))
