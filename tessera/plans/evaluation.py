@@ -11,6 +11,7 @@ from tessera.operators import windows as W
 from tessera.plans.registry import query
 from tessera.plans.windows import FWD, sql_frame
 from tessera.sources import panels as P
+from tessera.sources.scratch import written
 
 FACTORS = ["mom20", "vol20", "f_liquidity"]
 LEAST = 5
@@ -289,7 +290,7 @@ pr as (select a.date, a.factor, b.factor as other, count(*) as n, corr(a.r, b.r)
 
 @query("b03_factor_correlation", "factor other corr:7 days", "bars", CORR, "select factor, other, avg(c) as corr, count(c) as days from pr where n >= 5 and not isnan(c) group by 1, 2")
 def _(spark, d):
-    return ic.factor_correlation(scores_long(spark, d), LEAST)
+    return ic.factor_correlation(written(scores_long(spark, d)), LEAST)
 
 
 @query(
@@ -298,7 +299,7 @@ def _(spark, d):
     "select m.factor, m.other, corr, case when a.score >= b.score then m.factor else m.other end as keep from m join s a on a.factor = m.factor join s b on b.factor = m.other where abs(corr) >= 0.05",
 )
 def _(spark, d):
-    x = scores_long(spark, d)
+    x = written(scores_long(spark, d))
     scores = ic.ic_summary(ic.rank_ic(x, ["date", "factor"], least=LEAST), ["factor"]).select("factor", F.abs("ic_mean").alias("score"))
     return ic.redundant_pairs(ic.factor_correlation(x, LEAST), scores, 0.05)
 

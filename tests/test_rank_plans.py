@@ -50,3 +50,11 @@ def test_places_of_a_factor_report_equal_plain_ones(spark):
             if x.paired:
                 assert (x.a, x.b) == (mean_place(r[3], vs), mean_place(r[4], [b[4] for b in both]))
                 assert (x.top, x.bottom, x.q) == (r[1] in top, r[1] in bottom, 1 + sum(c < r[3] for c in cuts))
+
+
+def test_pairs_of_factors_are_made_without_a_join(spark):
+    df, _ = table(spark)
+    x = ic.factor_correlation(df, 5)
+    assert "Join" not in plan_of(x)
+    assert {(r.factor, r.other) for r in x.collect()} == {("x", "y"), ("x", "z"), ("y", "z")}
+    assert ic.factor_correlation(df.where(F.col("factor") == "x"), 5).count() == 0
