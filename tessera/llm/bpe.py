@@ -193,15 +193,15 @@ REMEMBERED = 600_000
 class Encoder(dict):
     """Ids, as bytes of little-endian 32-bit integers, of parts of texts; what it hasn't seen, it makes."""
 
-    def __init__(self, pattern: str, words: dict[str, bytes], ranks: dict[bytes, int]):
-        self.pattern, self.find, self.words, self.ranks = pattern, _pattern(pattern).findall, words, ranks
+    def __init__(self, pattern: str, words: dict[str, bytes], ranks: dict[bytes, int], limit: int = REMEMBERED):
+        self.limit, self.pattern, self.find, self.words, self.ranks = limit, pattern, _pattern(pattern).findall, words, ranks
 
     def pieces(self, text: str) -> bytes:
         words, ranks = self.words, self.ranks
         return b"".join(words[w] if w in words else np.array(merge_bytes(w.encode(), ranks), "<i4").tobytes() for w in self.find(text))
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.limit:
             self.clear()
         x = self[unit] = self.pieces(unit_text(unit))
         return x
@@ -233,7 +233,7 @@ class Decoder:
         return named[named != 0].tobytes()[:-1]
 
 
-def coder(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, max_dictionary: int):
+def coder(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, max_dictionary: int, limit: int = REMEMBERED):
     """A function for tasks that gives the worker's :class:`Encoder` and :class:`Decoder`.
 
     The driver holds the ranks and the dictionary of frequent words; both are bounded by the vocabulary and by
@@ -248,7 +248,7 @@ def coder(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, max_dic
         if key not in _made:
             _made.clear()
             known, ranks, pieces = shared.value
-            _made[key] = Encoder(pattern, known, ranks), Decoder(pieces)
+            _made[key] = Encoder(pattern, known, ranks, limit), Decoder(pieces)
         return _made[key]
 
     return get
@@ -289,10 +289,10 @@ def decode(coded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFra
     return arrow_map(coded.select(id_col, "ids"), run, f"`{id_col}` {dict(coded.dtypes)[id_col]}, ids array<int>, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_dictionary: int = 200_000) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_dictionary: int = 200_000, limit: int = REMEMBERED) -> DataFrame:
     """``(id_col, n_tokens, ids_sha256, decoded_sha256)``: each text encoded and its ids decoded in one pass, which spares
-    sending the ids between processes."""
-    get = coder(docs, ranks_path, pattern, text_col, max_dictionary)
+    sending the ids between processes.  A worker remembers ``limit`` parts of texts; fewer cost time, not results."""
+    get = coder(docs, ranks_path, pattern, text_col, max_dictionary, limit)
 
     def run(cols):
         encoder, decoder = get()
