@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def col(c: Column | str) -> Column:
@@ -53,6 +57,30 @@ def sign(c: Column) -> Column:
     return F.signum(c)
 
 
+def c_log(c: Column) -> Column:
+    """Logarithm of the C library, whose last bit is not always that of Spark's own; null where there is none."""
+
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None or v <= 0 else math.log(v) for v in x.to_pylist()], pa.float64())
+
+    return F.arrow_udf(run, DoubleType())(c)
+
+
+def c_exp(c: Column) -> Column:
+    """Exponential of the C library; infinite beyond the largest double."""
+
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else math.inf if v > 709.782712893384 else math.exp(v) for v in x.to_pylist()], pa.float64())
+
+    return F.arrow_udf(run, DoubleType())(c)
+
+
+def round_product(c: Column | str, n: int) -> Column:
+    """n places by rounding c times 10^n, halves away from zero: what lies within a bit of a half goes as that product does, not as the shortest decimals do."""
+    x = col(c) * 10.0**n
+    return F.when(F.abs(x) == float("inf"), col(c)).otherwise(F.round(x) / 10.0**n)
+
+
 # codes and dates
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import by_symbol, clip, safe_div, ts
+from tessera.functions.scalar import by_symbol, c_exp, c_log, clip, safe_div, ts
 
 sym = by_symbol  # a window by symbol in the order of dates
 
@@ -324,23 +324,22 @@ def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), chg
 def exact_labels(bars: DataFrame, calendar: DataFrame, horizons: tuple[int, ...] = (1, 3), source_max: Column | None = None) -> DataFrame:
     """Labels that need the next h calendar sessions exactly: the reason says why a label is missing.
 
-    One window over session indices gives counts and products; no join from days to days."""
-    x = bars.join(F.broadcast(calendar.select("date", "idx")), "date")
+    One window over session indices gives counts and products; no join from days to days. Logarithms are the C library's and are
+    summed from the latest session back, so that labels half way between two rounded ones fall on the side of the SQL's."""
+    ok = F.col("change_pct") > -100
+    x = bars.withColumn("__log", c_log(F.when(ok, 1 + F.col("change_pct") / 100))).join(F.broadcast(calendar.select("date", "idx")), "date")
     # the calendar has one row for each session; its last index is a scalar
     x = x.crossJoin(F.broadcast(calendar.agg(F.max("idx").alias("__last")))) if source_max is None else x.withColumn("__last", source_max)
-    w = Window.partitionBy("symbol").orderBy("idx")
-    out = []
+    w = Window.partitionBy("symbol").orderBy(F.desc("idx"))
+    labels = []
     for h in horizons:
-        r = w.rangeBetween(1, h)
-        ok = F.col("change_pct") > -100
+        r = w.rangeBetween(-h, -1)
         present, valid = F.count(F.lit(1)).over(r), F.count(F.when(ok, 1)).over(r)
-        value = F.exp(F.sum(F.log(F.when(ok, 1 + F.col("change_pct") / 100))).over(r)) - 1
         reason = F.when(F.col("idx") + h > F.col("__last"), F.lit("not_mature")).when(present < h, F.lit("missing_future_bar")).when(valid < h, F.lit("invalid_change_pct"))
-        out.append(x.select("symbol", "date", F.lit(h).alias("horizon"), value.alias("__v"), reason.alias("reason")))
-    x = out[0]
-    for y in out[1:]:
-        x = x.unionByName(y)
-    return x.select("symbol", "date", "horizon", F.when(F.col("reason").isNull(), F.col("__v")).alias("forward_return"), F.col("reason").isNull().alias("valid"), "reason")
+        labels.append(F.struct(F.lit(h).alias("horizon"), F.sum("__log").over(r).alias("sum"), reason.alias("reason")))
+    x = x.select("symbol", "date", F.array(*labels).alias("__labels")).select("symbol", "date", F.inline("__labels"))
+    value = c_exp(F.when(F.col("reason").isNull(), F.col("sum"))) - 1
+    return x.select("symbol", "date", "horizon", value.alias("forward_return"), F.col("reason").isNull().alias("valid"), "reason")
 
 
 def open_entry_labels(bars: DataFrame, horizon: int = 3) -> DataFrame:

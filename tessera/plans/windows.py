@@ -192,7 +192,7 @@ y as (select *, case when idx + horizon > top then 'not_mature' when present < h
 def _(spark, d):
     b = P.events_bars(spark, d)
     b = b.withColumn("change_pct", (S.ratio(F.col("close"), F.lag("close").over(W.sym())) - 1) * 100)
-    return W.exact_labels(b, P.calendar(b))
+    return W.exact_labels(b, P.calendar(b)).withColumn("forward_return", S.round_product("forward_return", 6))
 
 
 @query(
